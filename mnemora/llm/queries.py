@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from mnemora.llm import decontamination
+
 _WHERE = {
     "op1_toxicity": "toxicity",
     "op2_pii": "pii",
@@ -27,4 +29,4 @@ def _query(name: str, module: str):
 
 QUERIES = {name: _query(name, module) for name, module in _WHERE.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.OP4_SQL}
