@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from mnemora.llm import decontamination
+from mnemora.llm import decontamination, knn
 
 _WHERE = {
     "op1_toxicity": "toxicity",
@@ -29,4 +29,4 @@ def _query(name: str, module: str):
 
 QUERIES = {name: _query(name, module) for name, module in _WHERE.items()}
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": decontamination.OP4_SQL, "op5_knn_join": knn.OP5_SQL}
