@@ -9,7 +9,7 @@ its smallest ``doc_id``.
 The search is exact.  The 64 bits are cut into radius+m blocks; two fingerprints within the radius
 agree on at least m blocks, so every fingerprint joins one shard for each choice of m blocks, and
 each shard is a BK-tree, searched by all its members, that follows only edges within the radius.
-m grows with the number of fingerprints, so that shards stay small at every size.  The shard
+m grows with the number of fingerprints, so as to weigh what is shuffled against what is compared.  The shard
 trees are shuffled to tasks rather than broadcast, as together they grow with the corpus.
 
 Defined cases: null and empty texts, and texts without a word, are never duplicates; repeated rows
@@ -35,8 +35,8 @@ from mnemora.llm.textkit import Words
 
 RADIUS = 8
 CONFIRM = 22
-#: Fingerprints that a shard should have at most, on average.
-SHARD = 24
+#: What it costs to route a fingerprint to one more shard, in comparisons with a tree's node.
+ROUTE_COST = 30
 _LONG, _SHORT_WEIGHT = 5, 0.1
 A, B = f"{OWN}a", f"{OWN}b"
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -75,11 +75,16 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(docs, text, [T.StructField(A, T.LongType()), T.StructField(B, T.LongType())], lambda: step)
 
 
-def plan_blocks(n: int, radius: int = RADIUS, shard: int = SHARD) -> list[list[int]]:
-    """The bit masks of every choice of m of radius+m blocks, m the least that gives small shards."""
-    m = 1
-    while m < 5 and n / 2 ** (64 * m / (radius + m)) > shard:
-        m += 1
+def plan_blocks(n: int, radius: int = RADIUS) -> list[int]:
+    """The bit masks of every choice of m of radius+m blocks, with the m of least modelled cost for n fingerprints.
+
+    A member of a shard is compared with at most half of it, as each pair is met once.
+    """
+
+    def cost(m: int) -> float:
+        return math.comb(radius + m, m) * (ROUTE_COST + n / 2 ** (64 * m / (radius + m)) / 2)
+
+    m = min(range(1, 7), key=cost)
     ends = [round(64 * i / (radius + m)) for i in range(radius + m + 1)]
     blocks = [((1 << b) - (1 << a)) & (2**64 - 1) for a, b in zip(ends, ends[1:])]
     return [sum(c) for c in combinations(blocks, m)]
@@ -91,21 +96,23 @@ def _edges(nodes: DataFrame, n: int, radius: int, confirm: int) -> DataFrame:
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, math.ceil(n * len(masks) / 2_000_000))
     cells = parts * 4
+    step = max(1, 500_000 // len(masks))
 
     def route(batches):
         # Rows travel packed, one blob for each batch and cell, to keep the shuffle and the JVM's work small.
         for batch in batches:
-            a = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            b = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            which = np.repeat(np.arange(len(masks), dtype=np.uint16), len(a))
-            row = np.tile(np.arange(len(a)), len(masks))
-            key = _shard_key(a[row] & masks[which], which)
-            cell = (key % np.uint64(cells)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
-            row, which, cell = row[order], which[order], cell[order]
-            cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-            blobs = [a[r].tobytes() + b[r].tobytes() + w.tobytes() for r, w in ((row[s:e], which[s:e]) for s, e in zip(cut, cut[1:]))]
-            yield pa.RecordBatch.from_arrays([pa.array(cell[cut[:-1]]), pa.array(blobs, pa.binary())], ["cell", "blob"])
+            for at in range(0, batch.num_rows, step):
+                a = batch.column(0)[at : at + step].to_numpy(zero_copy_only=False).view(np.uint64)
+                b = batch.column(1)[at : at + step].to_numpy(zero_copy_only=False).view(np.uint64)
+                which = np.repeat(np.arange(len(masks), dtype=np.uint16), len(a))
+                row = np.tile(np.arange(len(a)), len(masks))
+                key = _shard_key(a[row] & masks[which], which)
+                cell = (key % np.uint64(cells)).astype(np.int64)
+                order = np.argsort(cell, kind="stable")
+                row, which, cell = row[order], which[order], cell[order]
+                cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+                blobs = [a[r].tobytes() + b[r].tobytes() + w.tobytes() for r, w in ((row[s:e], which[s:e]) for s, e in zip(cut, cut[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[cut[:-1]]), pa.array(blobs, pa.binary())], ["cell", "blob"])
 
     def search(batches):
         blobs: dict[int, list[bytes]] = {}
