@@ -5,7 +5,8 @@ power of two).  For each class a document is read as overlapping windows of two
 shingles, so that a passage of an item's length lies whole in one window however long the document
 is; that keeps the Jaccard similarity of item and window within a small factor of the containment,
 which a whole-document MinHash of a long text could not.  Signatures are one-permutation MinHashes
-of 4u bins.  An item is a candidate for a document if any bin of its signature equals that of a
+of BINS * u bins, of which an item's or window's few shingles fill a small part, so that a shared shingle
+is hidden by a smaller one in its bin with a probability of at most 1/BINS.  An item is a candidate for a document if any bin of its signature equals that of a
 window; candidates are then verified by the exact containment of the item's shingles in the whole
 document.  A bin can only match on a shingle that the item has, so window minima are evaluated
 just for those bins, which gives the same candidates as complete signatures.
@@ -33,6 +34,8 @@ from mnemora.llm.textkit import Words
 
 WIDTH = 5
 CONTAINMENT = 0.5
+#: Bins of a signature for each shingle of the class bound; windows hold twice the bound.
+BINS = 128
 #: Characters of item texts in one broadcast slice of the index.
 SLICE_CHARS = 8_000_000
 _FILTER = 1 << 20
@@ -59,7 +62,7 @@ class Index:
             self.size += size
             bound = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
             self.bound[size > 0] = bound[size > 0]
-            bins = 4 * bound[item]
+            bins = BINS * bound[item]
             # signature: the least shingle of each bin (its low bits) of each item
             order = np.lexsort((shingle, shingle % bins.astype(np.uint64), item))
             same = (item[order][1:] == item[order][:-1]) & ((shingle % bins.astype(np.uint64))[order][1:] == (shingle % bins.astype(np.uint64))[order][:-1])
@@ -107,7 +110,7 @@ class Index:
         u = self.bound[item]
         for bound in np.unique(u):
             p, i = place[u == bound], item[u == bound]
-            doc, bins = d[p], np.uint64(4 * bound)
+            doc, bins = d[p], np.uint64(BINS * bound)
             block = (p - start[doc]) // bound
             for back in (0, 1):  # the two windows that the shingle lies in
                 first = np.maximum(start[doc] + (block - back) * bound, start[doc])
