@@ -37,6 +37,8 @@ RADIUS = 8
 CONFIRM = 22
 #: What it costs to route a fingerprint to one more shard, in comparisons with a tree's node.
 ROUTE_COST = 30
+#: Identities of dropped documents that are broadcast at most; beyond, the texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 _LONG, _SHORT_WEIGHT = 5, 0.1
 A, B = f"{OWN}a", f"{OWN}b"
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -228,11 +230,12 @@ def drop_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
     )
     fate = settle(first.groupBy("doc_id", text_id).agg(F.max("stays").alias("stays"), F.sum("k").alias("k")))
     leaves = fate.where("not stays or k > 1").select(F.col("doc_id").alias(f"{OWN}i"), F.col(text_id).alias(f"{OWN}t"), "stays")
+    near = F.broadcast if leaves.count() <= BROADCAST_ROWS else lambda d: d
     same = marked.doc_id.eqNullSafe(F.col(f"{OWN}i")) & (F.col(text_id) == F.col(f"{OWN}t"))
-    out = marked.join(leaves.drop("stays"), same, "left_anti")
+    out = marked.join(near(leaves.drop("stays")), same, "left_anti")
     twice = leaves.where("stays")
     if not twice.isEmpty():
-        out = out.unionByName(marked.join(twice.drop("stays"), same, "left_semi").dropDuplicates(["doc_id", text_id]))
+        out = out.unionByName(marked.join(near(twice.drop("stays")), same, "left_semi").dropDuplicates(["doc_id", text_id]))
     return out.drop(text_id)
 
 
