@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import OWN, explode_texts, map_texts, pick, settle, table
+from mnemora.llm.common import OWN, bounded, explode_texts, map_texts, settle, table
 
 KINDS = ["NONE", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "NATIONAL_ID", "IBAN"]
 _K = {k: i for i, k in enumerate(KINDS)}
@@ -208,8 +208,7 @@ def train(spans: DataFrame, most: int = MOST_SPANS) -> np.ndarray | None:
     patterns = np.array([[int(v) for v in p.split(",")] for p in counts.pattern])
     _, _, post = fit_em(patterns, counts["count"].to_numpy(np.float64))
     number = {p: i for i, p in enumerate(counts.pattern)}
-    order = [pick(F.concat_ws(",", "doc_id", "start")), "doc_id", "start", "pattern", F.col("x").cast("string")]
-    rows = spans.orderBy(*order).limit(most).select("pattern", "x").toPandas()
+    rows = bounded(spans, most, "doc_id", "start", "pattern", F.col("x").cast("string")).select("pattern", "x").toPandas()
     which = np.array([number[p] for p in rows.pattern])
     return fit_softmax(np.array(rows.x.tolist(), np.float64), post[which])
 
