@@ -37,8 +37,9 @@ def _year(prefix: str, today: date) -> int:
     return int(prefix) if prefix.isdigit() else today.year - _YEARS_BACK[prefix]
 
 
-def _days(first: date, last: date) -> tuple[date, date] | None:
-    return (first, last) if first <= last else None
+def _days(first: date, last: date) -> tuple[date, date] | bool:
+    """The period; False for an inverted one, which ends the search without a match."""
+    return (first, last) if first <= last else False
 
 
 def _month(year: int, month: int) -> tuple[date, date]:
@@ -148,6 +149,8 @@ def parse_time(text: str | None, now: datetime, threshold: float = 0.45) -> Pars
             days = m and period(m, now.date())
         except (ValueError, OverflowError):
             days = None
+        if days is False:
+            break
         if days:
             score, signals = confidence(text, *m.span())
             if score < threshold:

@@ -2,10 +2,18 @@
 
 from pyspark.sql import types as T
 
-ENTRY = T.StructType.fromDDL(
-    "entry_type string, topic string, summary string, body string, source string, category string, keywords array<string>, "
-    "timestamp double, date_str string, importance int, supersedes string, is_episodic boolean"
-)
+_S, _D, _I, _L = T.StringType(), T.DoubleType(), T.IntegerType(), T.LongType()
+_WORDS = T.ArrayType(_S)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+ENTRY = _struct(
+    entry_type=_S, topic=_S, summary=_S, body=_S, source=_S, category=_S, keywords=_WORDS, timestamp=_D, date_str=_S, importance=_I, supersedes=_S,
+    is_episodic=T.BooleanType(),
+)
 #: Append-only operations; entries are a fold over them.
 OPS = T.StructType(
     [
@@ -18,6 +26,6 @@ OPS = T.StructType(
     ]
 )
 #: Word lists to learn from: documents (channel "doc") count towards the corpus, keyword lists ("kw") don't.
-TERMS = T.StructType.fromDDL("doc_seq long, channel string, words array<string>")
-CELLS = T.StructType.fromDDL("a string, b string, n double")
+TERMS = _struct(doc_seq=_L, channel=_S, words=_WORDS)
+CELLS = _struct(a=_S, b=_S, n=_D)
 ENTRIES = T.StructType([T.StructField("id", T.StringType()), *ENTRY.fields, T.StructField("access_count", T.LongType()), T.StructField("last_accessed", T.DoubleType())])
