@@ -17,14 +17,16 @@ kind) every severity is 0; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.llm.common import explode_texts, labelled_sample, map_texts, table
+from mnemora.llm.common import explode_texts, labelled_sample, map_texts, settle, table
 from mnemora.llm.textkit import Words, mix
 
 #: Most labelled documents that the model is fitted on.
-MOST_LABELLED = 8_000
+MOST_LABELLED = 12_000
 GRADES = 4
 _BITS = 22
 #: Word beginnings that are features besides the whole words.
@@ -50,16 +52,18 @@ def sparse_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code >> _BITS, code & ((1 << _BITS) - 1)
 
 
-def _markers(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features with a signal, and their z-scores (log odds over its standard error)."""
-    names, at = np.unique(feature, return_inverse=True)
-    bad = np.bincount(at, weights=toxic[doc].astype(float), minlength=len(names))
-    all_ = np.bincount(at, minlength=len(names)).astype(float)
-    good, n_bad, n_good = all_ - bad, toxic.sum(), (~toxic).sum()
+def markers(counts, n_bad: int, n_good: int):
+    """Features with a signal, by feature, and their z-scores (log odds over its standard error).
+
+    ``counts`` has the toxic and all documents of each feature.
+    """
+    bad, good = counts.bad.to_numpy(float), (counts.n - counts.bad).to_numpy(float)
     log_odds = np.log((bad + 0.5) / (n_bad - bad + 0.5)) - np.log((good + 0.5) / (n_good - good + 0.5))
     z = log_odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    keep = (all_ >= _LEAST) & (np.abs(z) >= _SIGNAL)
-    return names[keep], z[keep]
+    keep = np.abs(z) >= _SIGNAL
+    names = counts.feature.to_numpy(np.int64)[keep]
+    order = np.argsort(names)
+    return names[order], z[keep][order]
 
 
 def fit_cumulative(doc: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, ridge: float = 0.02, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
@@ -115,37 +119,54 @@ class Model:
         return (1 - below).sum(1), grades.argmax(1), below[:, 0] < 0.5
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray) -> Model:
-    """The model for labelled texts given as (text, feature) pairs."""
-    nothing = Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    if not toxic.any() or toxic.all():
-        return nothing
-    names, z = _markers(doc, feature, toxic)
-    at = np.minimum(np.searchsorted(names, feature), max(len(names) - 1, 0))
-    hit = names[at] == feature if len(names) else np.zeros(len(feature), bool)
-    marks = np.bincount(doc[hit], weights=(z[at[hit]] > 0).astype(float), minlength=len(toxic))[: len(toxic)]
+NOTHING = Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+
+def fit(doc: np.ndarray, column: np.ndarray, toxic: np.ndarray, names: np.ndarray, z: np.ndarray) -> Model:
+    """The model for labelled texts given as (text, index of a marker) pairs."""
+    marks = np.bincount(doc, weights=(z[column] > 0).astype(float), minlength=len(toxic))[: len(toxic)]
     cuts = np.quantile(marks[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic, 1 + np.searchsorted(cuts, marks, side="left"), 0)
-    grade = np.unique(grade, return_inverse=True)[1] if len(np.unique(grade)) < GRADES else grade
-    w, theta = fit_cumulative(doc[hit], at[hit], grade, len(names))
+    grade = np.unique(grade, return_inverse=True)[1]  # without empty grades
+    w, theta = fit_cumulative(doc, column, grade, len(names))
     return Model(names, w, theta)
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
+    """Markers are chosen by counts made on the executors; the driver only gets those and their places."""
     sample = labelled_sample(spark, docs, labels, most, "toxic")
-    schema = T.StructType.fromDDL("doc_id long, toxic long, features array<int>")
 
     def step(texts, ids, toxic):
         doc, feature = sparse_features(texts)
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         return [ids, toxic, [feature[a:b].astype(np.int32) for a, b in zip(cut, cut[1:])]]
 
-    rows = explode_texts(sample.selectExpr("text", "cast(doc_id as long) doc_id", "cast(toxic as long) toxic"), schema, ["text", "doc_id", "toxic"], lambda: step).toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
-    size = rows.features.map(len).to_numpy() if len(rows) else np.zeros(0, int)
-    doc = np.repeat(np.arange(len(rows)), size)
-    feature = np.concatenate(rows.features.tolist()).astype(np.int64) if size.sum() else np.zeros(0, np.int64)
-    return fit(doc, feature, rows.toxic.to_numpy() > 0)
+    schema = T.StructType.fromDDL("doc_id long, toxic long, features array<int>")
+    source = sample.selectExpr("text", "cast(doc_id as long) doc_id", "cast(toxic > 0 as long) toxic")
+    rows = settle(explode_texts(source, schema, ["text", "doc_id", "toxic"], lambda: step))
+    size = rows.groupBy("toxic").count().toPandas().set_index("toxic")["count"].to_dict()
+    if len(size) < 2:
+        return NOTHING
+    counts = rows.select(F.explode("features").alias("feature"), "toxic").groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    # A feature as common among toxic as among clean texts can't reach the signal, whatever its count.
+    odd = counts.where(F.col("n") >= _LEAST).where(F.abs(F.col("bad") / size[1] - (F.col("n") - F.col("bad")) / size[0]) * sum(size.values()) >= _SIGNAL)
+    names, z = markers(odd.toPandas(), size[1], size[0])
+
+    def places(batches):
+        for batch in batches:
+            flat = batch.column("features").flatten().to_numpy()
+            length = np.diff(batch.column("features").offsets.to_numpy())
+            at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+            hit = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+            owner = np.repeat(np.arange(batch.num_rows), length)[hit]
+            found = np.split(at[hit].astype(np.int32), np.searchsorted(owner, np.arange(1, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "features"])
+
+    got = rows.mapInArrow(places, schema).toPandas()
+    got = got.iloc[np.lexsort((got.features.map(lambda f: tuple(f)).to_numpy(), got.doc_id.to_numpy()))]
+    length = got.features.map(len).to_numpy()
+    column = np.concatenate(got.features.tolist()).astype(np.int64)
+    return fit(np.repeat(np.arange(len(got)), length), column, got.toxic.to_numpy() > 0, names, z)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
