@@ -41,7 +41,8 @@ _PART = 2_000
 #: Tables of one row per host are broadcast up to this many bytes, and joined by shuffling beyond.
 BROADCAST_BYTES = 64 << 20
 
-_TOKEN = re.compile(r"<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>|[^<\s]+|<", re.S | re.I)
+# Words first and without case folding, as most tokens are words.
+_TOKEN = re.compile(r"[^<\s]+|<!--.*?-->|<(?i:script|style)\b.*?</(?i:script|style)\s*>|<[^>]*>|<", re.S)
 _VOLATILE = re.compile(r"""\b(href|src|id|content|style|title|alt|value|datetime|data-[\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -65,11 +66,11 @@ def token_key(token: str) -> int:
 
 
 class _Keys(dict):
-    """token -> key of the tags met by a task (words are too many to keep)."""
+    """token -> key, kept for the tokens that a task meets first (up to a bound)."""
 
     def __missing__(self, token: str) -> int:
         k = token_key(token)
-        if token[0] == "<" and len(self) < 100_000:
+        if len(self) < 200_000 and len(token) < 200:
             self[token] = k
         return k
 
@@ -93,7 +94,7 @@ def _frequent(pages: DataFrame, support: float) -> DataFrame:
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hosts[host] += 1
-                seen.setdefault(host, Counter()).update({keys[t] for t in tokenize(page)})
+                seen.setdefault(host, Counter()).update({keys[t] for t in set(tokenize(page))})
                 n += 1
                 if n % _PART == 0:
                     yield flush()
@@ -119,15 +120,12 @@ def _occurrences(pages: DataFrame, frequent: DataFrame) -> DataFrame:
                 if host not in known:
                     known.clear()
                     known[host] = frozenset(tokens)
-                wanted, count, first, last, n = known[host], {}, {}, {}, 0
-                for t in tokenize(page):
-                    k = keys[t]
-                    if k in wanted:
-                        if k not in first:
-                            first[k] = n
-                        count[k] = count.get(k, 0) + 1
-                        last[k] = n
-                        n += 1
+                wanted, count, first, last = known[host], {}, {}, {}
+                for n, k in enumerate([k for k in map(keys.__getitem__, tokenize(page)) if k in wanted]):
+                    if k not in first:
+                        first[k] = n
+                    count[k] = count.get(k, 0) + 1
+                    last[k] = n
                 out[0].append(host)
                 out[1].append(list(count))
                 out[2].append(list(count.values()))
@@ -206,20 +204,33 @@ def _gap(edge: list[int], ahead: list[tuple[int, int]], place: int) -> int:
 
 
 def slots_of(page: str, root: list[int], inner: dict[int, int], keys: dict | None = None) -> list[tuple[int, str]]:
-    """(slot, text) of the non-empty slots of a page."""
+    """(slot, text) of the non-empty slots of a page.
+
+    Only tags and template tokens are looked at singly; the words between them are taken at once.
+    """
     at = {t: i for i, t in enumerate(root)}
     keys = _Keys() if keys is None else keys
-    r, out, pending = 0, {}, " "
-    for token in tokenize(page):
-        k = keys[token]
+    tokens = tokenize(page)
+    ks = list(map(keys.__getitem__, tokens))
+    marks = [i for i, (t, k) in enumerate(zip(tokens, ks)) if (t[0] == "<" and t != "<") or k in at or k in inner]
+    r, out, pending, begin = 0, {}, " ", 0
+    for m in [*marks, len(tokens)]:
+        if m > begin:
+            parts = out.setdefault(r, [])
+            if parts:
+                parts.append(pending)
+            parts.append(" ".join(tokens[begin:m]))
+            pending = " "
+        if m == len(tokens):
+            break
+        begin = m + 1
+        k, token = ks[m], tokens[m]
         i = at.get(k, -1)
         if i >= r:
             r, pending = i + 1, " "
         elif inner.get(k) == r:
             pending = "\n"
-        elif token[0] == "<" and len(token) > 1:
-            pending = "\n" if pending == "\n" else " "
-        else:
+        elif token[0] != "<" or token == "<":  # a template word out of its place is text
             parts = out.setdefault(r, [])
             if parts:
                 parts.append(pending)
