@@ -108,7 +108,7 @@ def weighted_keywords(docs: DataFrame, id_col: str, text_col: str, top_k: int =
     w = Window.partitionBy("id").orderBy(F.desc("weight"), "word")
     top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * top_k)
     lists = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("m"), "word"))).alias("x"))
-    lists = lists.withColumn("kept", drop_contained(F.col("x.word"))).withColumn("x", F.slice(F.filter("x", lambda s: F.array_contains("kept", s.word)), 1, top_k))
+    lists = lists.withColumn("x", let(drop_contained(F.col("x.word")), lambda kept: F.slice(F.filter("x", lambda s: F.array_contains(kept, s.word)), 1, top_k)))
     longs = lists.select("id", F.posexplode("x").alias("p", "s")).select("id", F.col("s.word").alias("word"), (-F.col("s.m")).alias("weight"), (F.col("p") + 1).cast("int").alias("rank"))
     shorts = base.where("not long").select("id", F.posexplode(keywords("text", min_len)).alias("p", "word")).select("id", "word", F.lit(1.0).alias("weight"), (F.col("p") + 1).cast("int").alias("rank"))
     return longs.unionByName(shorts)
