@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pairs(words: str = "words") -> F.Column:
-    """All (a, b), a <= b, of a row's distinct words, without joining rows with each other."""
-    s = F.array_sort(F.array_distinct(words))
-    return F.explode(F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 1, F.size(s)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+def pairs(terms: DataFrame, *others: str) -> DataFrame:
+    """All (a, b), a <= b, of each row's distinct words, without joining rows with each other.
+
+    A row of n words is held n words at a time, never as its n*(n+1)/2 pairs.
+    """
+    s = terms.select(*others, F.array_sort(F.array_distinct("words")).alias("s"))
+    each = s.select(*others, "s", F.posexplode("s").alias("i", "a"))
+    return each.select(*others, "a", F.explode(F.slice("s", F.col("i") + 1, F.size("s"))).alias("b"))
 
 
 def enough_words(terms: DataFrame) -> DataFrame:
@@ -30,7 +34,34 @@ def prefilter(terms: DataFrame, least: int) -> DataFrame:
 
 def build(terms: DataFrame) -> DataFrame:
     """Pairs are made within the row, so the only shuffle is that of the map-side combined counts."""
-    return terms.select(pairs().alias("p")).groupBy("p.a", "p.b").agg(F.count("*").cast("double").alias("n")).select("a", "b", "n")
+    return pairs(terms).groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
+
+
+def frequent_numbers(terms: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with words of at least ``least`` rows as numbers in the words' order, and (w, number).
+
+    Rows stay apart even if all their other columns are equal; those without such a word are left out.
+    """
+    from mnemora.session import settle
+
+    counted = terms.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    number = settle(number_documents(counted.select("w"), "w").select("w", F.col("doc_seq").cast("int").alias("number")))
+    others = [c for c in terms.columns if c != "words"]
+    row = settle(terms.withColumn("row", F.monotonically_increasing_id()))
+    kept = row.select("row", *others, F.explode(F.array_distinct("words")).alias("w")).join(number, "w")
+    return settle(kept.groupBy("row", *others).agg(F.collect_list("number").alias("words")).drop("row")), number
+
+
+def named(cells: DataFrame, number: DataFrame) -> DataFrame:
+    """Cells of numbered words with the words again."""
+    a, b = (number.select(F.col("number").alias(c), F.col("w").alias(f"{c}_w")) for c in "ab")
+    return cells.join(a, "a").join(b, "b").select(F.col("a_w").alias("a"), F.col("b_w").alias("b"), "n")
+
+
+def build_pruned(terms: DataFrame, least: int) -> DataFrame:
+    """The cells of ``prune(build(terms), least)``; only numbers of words that can reach it are paired."""
+    rows, number = frequent_numbers(terms, least)
+    return named(prune(build(rows), least), number)
 
 
 def prune(cells: DataFrame, least: float) -> DataFrame:
@@ -64,7 +95,7 @@ def decayed(terms: DataFrame, rate: float, interval: int, docs: int) -> DataFram
     epochs applies the decay; empty epochs between are skipped exactly, as values only fall there.
     """
     epoch = F.when(F.col("channel") == "doc", F.ceil(F.col("doc_seq") / interval)).otherwise(F.floor(F.col("doc_seq") / interval) + 1)
-    each = terms.select(epoch.cast("int").alias("e"), pairs().alias("p")).groupBy("p.a", "p.b", "e").agg(F.count("*").cast("double").alias("c"))
+    each = pairs(terms.withColumn("e", epoch.cast("int")), "e").groupBy("a", "b", "e").agg(F.count("*").cast("double").alias("c"))
     done = docs // interval  # completed epochs
     keep = lambda v: F.when(v < 0.5, 0.0).otherwise(v)
     start = F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("e"))

@@ -15,6 +15,8 @@ from mnemora.streaming import ingest
 #: 2024-02-01 00:00:00 UTC, the present of all queries.
 NOW = 1706745600.0
 DAY = 86400.0
+#: Least count of a cell that is kept for associations, as the reference's configuration has it.
+LEAST_COUNT = 5
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -67,6 +69,18 @@ def _strength(spark, sf) -> DataFrame:
     return assoc.conditional(_cells(spark, sf)[0])
 
 
+def _doc_terms(spark, sf) -> DataFrame:
+    """All keywords of all documents that have two at least, as the reference learns them."""
+    d = t(spark, sf, "documents").select("doc_id", (F.lit(NOW) - F.col("doc_id") * 3600.0).alias("timestamp"), text.keywords("text").alias("words"), F.lit("doc").alias("channel"))
+    return settle(cooc.enough_words(d))
+
+
+def _doc_cells(spark, sf, least: int = LEAST_COUNT) -> tuple[DataFrame, int]:
+    """The documents' cells of at least ``least`` (1: all), and the number of documents."""
+    d = _doc_terms(spark, sf)
+    return settle(cooc.build_pruned(d.select("words"), least)), d.count()
+
+
 def _queries(spark, sf) -> DataFrame:
     """Benchmark texts as tiered query words."""
     b = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -213,11 +227,22 @@ def cooc_build(spark, sf):
 
 
 def cooc_documents(spark, sf):
-    """Pairs of the weighted keywords of each document, with at least two documents."""
+    """Pairs of the weighted keywords of each document (25 of a long one), with at least two documents.
+
+    ``cooc_prune_documents`` has the pairs of all keywords.
+    """
     w = text.weighted_keywords(t(spark, sf, "documents"), "doc_id", "text").groupBy("id").agg(F.collect_list("word").alias("words"))
     return cooc.prune(cooc.build(cooc.prefilter(settle(w), 2)), 2).withColumn("n", F.col("n").cast("long"))
 
 
+def cooc_build_documents(spark, sf):
+    return _doc_cells(spark, sf, 1)[0].withColumn("n", F.col("n").cast("long"))
+
+
+def cooc_prune_documents(spark, sf):
+    return _doc_cells(spark, sf)[0].withColumn("n", F.col("n").cast("long"))
+
+
 def cooc_prune(spark, sf):
     return cooc.prune(_cells(spark, sf)[0], 200).withColumn("n", F.col("n").cast("long"))
 
@@ -374,5 +399,6 @@ QUERIES = {
         supersede_demote, access_counts, remove_entries, cooc_build, cooc_documents, cooc_prune, cooc_stats, cooc_decay, keyword_channel, ppmi, cond_prob,
         top_associations, expand_keywords, cleanup_vocab, remove_words, consolidate_recent, recall_by_date, recall_by_range, summarize_week, category_stats,
         stream_day_counts, two_hop, group_inference, beam_search, hub_nodes, connected_anchors, ppr, shortest_path, hidden_chain, evidence, parse_time, csv_ingest,
+        cooc_build_documents, cooc_prune_documents,
     )
 }
