@@ -81,6 +81,14 @@ def _doc_cells(spark, sf, least: int = LEAST_COUNT) -> tuple[DataFrame, int]:
     return settle(cooc.build_pruned(d.select("words"), least)), d.count()
 
 
+def _doc_ppmi(spark, sf) -> DataFrame:
+    return assoc.ppmi(*_doc_cells(spark, sf))
+
+
+def _doc_strength(spark, sf) -> DataFrame:
+    return assoc.conditional(_doc_cells(spark, sf)[0])
+
+
 def _queries(spark, sf) -> DataFrame:
     """Benchmark texts as tiered query words."""
     b = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -149,14 +157,9 @@ def retrieve_fast(spark, sf):
 
 
 def retrieve_standard(spark, sf):
-    """Queries of part names over orders as entries, with associations of the baskets."""
-    b = settle(baskets(spark, sf))
-    e = b.select(
-        F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("topic"), F.lit("").alias("summary"), F.lit("").alias("body"), F.lit("s").alias("source"),
-        F.col("words").alias("keywords"), (F.lit(NOW) - F.col("l_orderkey") * 60.0).alias("timestamp"), F.lit(3).alias("importance"),
-    )
-    q = t(spark, sf, "part").select(F.col("p_name").alias("query_id"), F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    got = retrieve.retrieve(q, settle(e), NOW, settle(assoc.ppmi(settle(cooc.build(b)), cooc.total_docs(b))))
+    """Benchmark texts over the documents, with associations of all their keywords."""
+    e = settle(doc_entries(spark, sf))
+    got = retrieve.retrieve(_queries(spark, sf), e, NOW, settle(_doc_ppmi(spark, sf)))
     return got.select("query_id", "entry_id", "relevance", "final_score", "rank")
 
 
@@ -235,14 +238,6 @@ def cooc_documents(spark, sf):
     return cooc.prune(cooc.build(cooc.prefilter(settle(w), 2)), 2).withColumn("n", F.col("n").cast("long"))
 
 
-def cooc_build_documents(spark, sf):
-    return _doc_cells(spark, sf, 1)[0].withColumn("n", F.col("n").cast("long"))
-
-
-def cooc_prune_documents(spark, sf):
-    return _doc_cells(spark, sf)[0].withColumn("n", F.col("n").cast("long"))
-
-
 def cooc_prune(spark, sf):
     return cooc.prune(_cells(spark, sf)[0], 200).withColumn("n", F.col("n").cast("long"))
 
@@ -325,6 +320,7 @@ def stream_day_counts(spark, sf):
 
 
 ANCHORS = ["anvil", "gizmo", "Brand#7"]
+DOC_ANCHORS = ["thtion", "attion", "eriner"]
 _LEAST = 0.001
 
 
@@ -338,7 +334,7 @@ def group_inference(spark, sf):
 
 
 def beam_search(spark, sf):
-    return hops.beam_search(settle(_strength(spark, sf)), ANCHORS).select("target", "score")
+    return hops.beam_search(settle(_doc_strength(spark, sf)), DOC_ANCHORS).select("target", "score")
 
 
 def hub_nodes(spark, sf):
@@ -361,8 +357,90 @@ def shortest_path(spark, sf):
 
 
 def hidden_chain(spark, sf):
-    cells, docs = _cells(spark, sf)
-    return graph.hidden_chain(settle(assoc.ppmi(cells, docs)), cells, ANCHORS, least=_LEAST)[0]
+    cells, docs = _doc_cells(spark, sf)
+    return graph.hidden_chain(settle(assoc.ppmi(cells, docs)), cells, DOC_ANCHORS)[0]
+
+
+# ---- the same over all keywords of all documents, with the reference's thresholds -----------------
+
+
+def cooc_build_documents(spark, sf):
+    return _doc_cells(spark, sf, 1)[0].withColumn("n", F.col("n").cast("long"))
+
+
+def cooc_prune_documents(spark, sf):
+    return _doc_cells(spark, sf)[0].withColumn("n", F.col("n").cast("long"))
+
+
+def cooc_stats_documents(spark, sf):
+    return cooc.stats(*_doc_cells(spark, sf, 1)).withColumn("density", F.round("density", 6))
+
+
+def cooc_decay_documents(spark, sf):
+    """Decayed cells of at least LEAST_COUNT; words under it can't reach it, as decay only lowers."""
+    numbered = cooc.number_documents(_doc_terms(spark, sf), "doc_id").select("doc_seq", "channel", "words")
+    rows, number = cooc.frequent_numbers(settle(numbered), LEAST_COUNT)
+    cells = cooc.decayed(rows, 0.005, 500, numbered.count())
+    return cooc.named(cooc.prune(cells, LEAST_COUNT), number).withColumn("n", F.round("n", 6))
+
+
+def ppmi_documents(spark, sf):
+    return _doc_ppmi(spark, sf).withColumn("ppmi", F.round("ppmi", 6))
+
+
+def cond_prob_documents(spark, sf):
+    return _doc_strength(spark, sf).withColumn("p", F.round("p", 6))
+
+
+def top_associations_documents(spark, sf):
+    return assoc.top_associations(_doc_ppmi(spark, sf), 0.0, 10.0, 20).withColumn("ppmi", F.round("ppmi", 6))
+
+
+def expand_keywords_documents(spark, sf):
+    return assoc.expand(_queries(spark, sf).where("tier = 'core'"), settle(_doc_ppmi(spark, sf)), 10)
+
+
+def cleanup_vocab_documents(spark, sf):
+    return cooc.cleanup(_doc_cells(spark, sf, 1)[0], LEAST_COUNT)
+
+
+def remove_words_documents(spark, sf):
+    c = _doc_cells(spark, sf, 1)[0]
+    return cooc.remove_words(c, settle(cooc.cleanup(c, LEAST_COUNT))).withColumn("n", F.col("n").cast("long"))
+
+
+def consolidate_recent_documents(spark, sf):
+    """Cells learnt anew from the documents of the last 30 days."""
+    recent = _doc_terms(spark, sf).where(F.col("timestamp") >= NOW - 30 * DAY)
+    return cooc.build_pruned(recent.select("words"), LEAST_COUNT).withColumn("n", F.col("n").cast("long"))
+
+
+def two_hop_documents(spark, sf):
+    return hops.two_hop(settle(_doc_strength(spark, sf)), DOC_ANCHORS[0], 20)
+
+
+def group_inference_documents(spark, sf):
+    g = hops.group_inference(settle(_doc_strength(spark, sf)), DOC_ANCHORS)
+    return g.select("target", "confidence", F.array_join("whys", "; ").alias("whys"))
+
+
+def hub_nodes_documents(spark, sf):
+    return hops.hubs(settle(_doc_strength(spark, sf)))
+
+
+def connected_anchors_documents(spark, sf):
+    g = settle(graph.edges(_doc_ppmi(spark, sf)))
+    return graph.reachable(g, spark.createDataFrame([(DOC_ANCHORS[0],)], "node string"))
+
+
+def ppr_documents(spark, sf):
+    g = settle(graph.edges(_doc_ppmi(spark, sf)))
+    return graph.pagerank(g, DOC_ANCHORS).withColumn("rank", F.round("rank", 6))
+
+
+def shortest_path_documents(spark, sf):
+    g = settle(graph.edges(_doc_ppmi(spark, sf)))
+    return graph.shortest_paths(g, DOC_ANCHORS, DOC_ANCHORS).select("source", "target", F.round("distance", 4).alias("distance"))
 
 
 def evidence(spark, sf):
@@ -399,6 +477,8 @@ QUERIES = {
         supersede_demote, access_counts, remove_entries, cooc_build, cooc_documents, cooc_prune, cooc_stats, cooc_decay, keyword_channel, ppmi, cond_prob,
         top_associations, expand_keywords, cleanup_vocab, remove_words, consolidate_recent, recall_by_date, recall_by_range, summarize_week, category_stats,
         stream_day_counts, two_hop, group_inference, beam_search, hub_nodes, connected_anchors, ppr, shortest_path, hidden_chain, evidence, parse_time, csv_ingest,
-        cooc_build_documents, cooc_prune_documents,
+        cooc_build_documents, cooc_prune_documents, cooc_stats_documents, cooc_decay_documents, ppmi_documents, cond_prob_documents,
+        top_associations_documents, expand_keywords_documents, cleanup_vocab_documents, remove_words_documents, consolidate_recent_documents,
+        two_hop_documents, group_inference_documents, hub_nodes_documents, connected_anchors_documents, ppr_documents, shortest_path_documents,
     )
 }
