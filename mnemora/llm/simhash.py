@@ -1,9 +1,11 @@
 """SimHash near-duplicates: BK-trees over sharded fingerprints.
 
 Each text with at least one word has two 64-bit SimHashes: one of its words (those of fewer than
-five characters weigh a tenth), which is searched, and one of its word pairs, which confirms.  Two
-texts are near-duplicates if the first differ in at most ``radius`` bits and the second in at most
-``confirm``.  Groups are the connected components of that relation; a group's representative is
+five characters weigh a tenth), which is searched, and one of its word pairs, which confirms.  As
+both are majority votes, they converge for long texts of one language, so a sketch that doesn't
+(one bit of each of 256 MinHashes of the runs of three words) verifies.  Two texts are
+near-duplicates if the first differ in at most ``radius`` bits, the second in at most ``confirm``
+and the sketches in at most ``MOST_APART``.  Groups are the connected components of that relation; a group's representative is
 its smallest ``doc_id``.
 
 The search is exact.  The 64 bits are cut into radius+m blocks; two fingerprints within the radius
@@ -31,16 +33,19 @@ from pyspark.sql import types as T
 
 from mnemora.llm.bktree import Forest
 from mnemora.llm.common import OWN, map_texts, settle, table
-from mnemora.llm.textkit import Words
+from mnemora.llm.textkit import Words, mix
 
 RADIUS = 8
 CONFIRM = 22
+#: MinHashes of a sketch, and the bits in which two may differ: those expected at a Jaccard similarity of 0.35.
+SKETCH = 256
+MOST_APART = 83
 #: What it costs to route a fingerprint to one more shard, in comparisons with a tree's node.
 ROUTE_COST = 30
 #: Identities of dropped documents that are broadcast at most; beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 _LONG, _SHORT_WEIGHT = 5, 0.1
-A, B = f"{OWN}a", f"{OWN}b"
+A, B, C = f"{OWN}a", f"{OWN}b", f"{OWN}c"
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
@@ -60,21 +65,37 @@ def _vote(hashes: np.ndarray, doc: np.ndarray, n: int, weight: np.ndarray | None
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Both SimHashes of each text, and whether it has any word."""
-    w = Words(texts)
+    return _prints(Words(texts))
+
+
+def _prints(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = w.hashes()
     weight = np.where(w.ends - w.starts >= _LONG, 1.0, _SHORT_WEIGHT)
     pairs, pair_doc = w.shingles(2, h)
     return _vote(h, w.doc, w.n_docs, weight), _vote(pairs, pair_doc, w.n_docs, None), np.diff(w.first) > 0
 
 
+def sketches(w: Words) -> np.ndarray:
+    """Sketch of each text: a row of SKETCH bits, packed in 64-bit numbers; they agree in (1 + J) / 2 of their bits."""
+    out = np.zeros((w.n_docs, SKETCH), np.uint8)
+    runs, doc = w.shingles(3)
+    if len(runs):
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        for k, factor in enumerate(mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)):
+            out[doc[first], k] = mix(np.minimum.reduceat(runs * factor, first)) >> np.uint64(63)
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The table with both SimHashes appended (null where a text has no word)."""
+    """The table with both SimHashes and the sketch appended (null where a text has no word)."""
 
     def step(texts):
-        a, b, some = fingerprints(texts)
-        return [pa.array(a.view(np.int64), mask=~some), pa.array(b.view(np.int64), mask=~some)]
+        w = Words(texts)
+        a, b, some = _prints(w)
+        c = [x.tobytes() if y else None for x, y in zip(sketches(w), some)]
+        return [pa.array(a.view(np.int64), mask=~some), pa.array(b.view(np.int64), mask=~some), c]
 
-    return map_texts(docs, text, [T.StructField(A, T.LongType()), T.StructField(B, T.LongType())], lambda: step)
+    return map_texts(docs, text, [T.StructField(A, T.LongType()), T.StructField(B, T.LongType()), T.StructField(C, T.BinaryType())], lambda: step)
 
 
 def plan_blocks(n: int, radius: int = RADIUS) -> list[int]:
@@ -106,6 +127,7 @@ def _edges(nodes: DataFrame, n: int, radius: int, confirm: int) -> DataFrame:
             for at in range(0, batch.num_rows, step):
                 a = batch.column(0)[at : at + step].to_numpy(zero_copy_only=False).view(np.uint64)
                 b = batch.column(1)[at : at + step].to_numpy(zero_copy_only=False).view(np.uint64)
+                c = np.frombuffer(b"".join(batch.column(2)[at : at + step].to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
                 which = np.repeat(np.arange(len(masks), dtype=np.uint16), len(a))
                 row = np.tile(np.arange(len(a)), len(masks))
                 key = _shard_key(a[row] & masks[which], which)
@@ -113,7 +135,7 @@ def _edges(nodes: DataFrame, n: int, radius: int, confirm: int) -> DataFrame:
                 order = np.argsort(cell, kind="stable")
                 row, which, cell = row[order], which[order], cell[order]
                 cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-                blobs = [a[r].tobytes() + b[r].tobytes() + w.tobytes() for r, w in ((row[s:e], which[s:e]) for s, e in zip(cut, cut[1:]))]
+                blobs = [a[r].tobytes() + b[r].tobytes() + c[r].tobytes() + w.tobytes() for r, w in ((row[s:e], which[s:e]) for s, e in zip(cut, cut[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(cell[cut[:-1]]), pa.array(blobs, pa.binary())], ["cell", "blob"])
 
     def search(batches):
@@ -123,30 +145,31 @@ def _edges(nodes: DataFrame, n: int, radius: int, confirm: int) -> DataFrame:
                 blobs.setdefault(c, []).append(x)
         while blobs:
             _, mine = blobs.popitem()
-            count = [len(x) // 18 for x in mine]
+            count = [len(x) // (18 + SKETCH // 8) for x in mine]
             a = np.concatenate([np.frombuffer(x, np.uint64, k) for x, k in zip(mine, count)])
             b = np.concatenate([np.frombuffer(x, np.uint64, k, 8 * k) for x, k in zip(mine, count)])
-            which = np.concatenate([np.frombuffer(x, np.uint16, k, 16 * k) for x, k in zip(mine, count)])
+            c = np.concatenate([np.frombuffer(x, np.uint64, k * (SKETCH // 64), 16 * k) for x, k in zip(mine, count)]).reshape(-1, SKETCH // 64)
+            which = np.concatenate([np.frombuffer(x, np.uint16, k, (16 + SKETCH // 8) * k) for x, k in zip(mine, count)])
             key = _shard_key(a & masks[which], which)
             order = np.lexsort((b, a, key))
-            a, b, key = a[order], b[order], key[order]
+            a, b, c, key = a[order], b[order], c[order], key[order]
             left, right = [], []
             for i, j in Forest(key, a).within(radius):
                 near = np.bitwise_count(b[i] ^ b[j]) <= confirm
+                i, j = i[near], j[near]
+                near = np.bitwise_count(c[i] ^ c[j]).sum(1, dtype=np.int64) <= MOST_APART
                 left.append(i[near])
                 right.append(j[near])
             if left and sum(map(len, left)):
                 i, j = _spanning(np.concatenate(left), np.concatenate(right), len(a))
-                pairs = np.unique(np.stack([a[i], b[i], a[j], b[j]], 1), axis=0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a1", "b1", "a2", "b2"])
+                columns = [pa.array(x[k].view(np.int64) if x is not c else [y.tobytes() for y in c[k]]) for k in (i, j) for x in (a, b, c)]
+                yield pa.RecordBatch.from_arrays(columns, ["a1", "b1", "c1", "a2", "b2", "c2"])
 
-    routed = nodes.select(A, B).mapInArrow(route, "cell long, blob binary").repartition(parts, "cell")
-    return routed.mapInArrow(search, "a1 long, b1 long, a2 long, b2 long").distinct()
+    routed = nodes.select(A, B, C).mapInArrow(route, "cell long, blob binary").repartition(parts, "cell")
+    return routed.mapInArrow(search, "a1 long, b1 long, c1 binary, a2 long, b2 long, c2 binary").distinct()
 
 
 def _shard_key(masked: np.ndarray, which: np.ndarray) -> np.ndarray:
-    from mnemora.llm.textkit import mix
-
     return mix(masked + mix(which.astype(np.uint64) + np.uint64(1)))
 
 
@@ -188,19 +211,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(prints: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
-    """Rows (a, b, group) for each distinct pair of SimHashes; only those with a neighbour."""
-    nodes = settle(prints.where(F.col(A).isNotNull()).select(A, B).distinct())
+    """Rows (a, b, c, group) for each distinct pair of SimHashes with a sketch; only those with a neighbour."""
+    nodes = settle(prints.where(F.col(A).isNotNull()).select(A, B, C).distinct())
     edges = _edges(nodes, nodes.count(), radius, confirm)
-    pack = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    found = components(edges.select(pack("a1", "b1").alias("u"), pack("a2", "b2").alias("v")))
-    return found.select(F.col("node.a").alias(A), F.col("node.b").alias(B), F.col("low").alias(f"{OWN}low"))
+    pack = lambda *x: F.struct(*(F.col(c).alias(n) for c, n in zip(x, "abc")))
+    found = components(edges.select(pack("a1", "b1", "c1").alias("u"), pack("a2", "b2", "c2").alias("v")))
+    return found.select(F.col("node.a").alias(A), F.col("node.b").alias(B), F.col("node.c").alias(C), F.col("low").alias(f"{OWN}low"))
 
 
 def group_rows(prints: DataFrame, *identity: str, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
     """Every row of ``prints`` that has a duplicate, with ``group_id`` and ``n`` rows in its group."""
     groups = near_duplicate_groups(prints, radius, confirm)
-    own = F.struct(F.col(A).alias("a"), F.col(B).alias("b"))
-    placed = prints.where(F.col(A).isNotNull()).join(groups, [A, B], "left").withColumn(f"{OWN}low", F.coalesce(f"{OWN}low", own))
+    own = F.struct(F.col(A).alias("a"), F.col(B).alias("b"), F.col(C).alias("c"))
+    placed = prints.where(F.col(A).isNotNull()).join(groups, [A, B, C], "left").withColumn(f"{OWN}low", F.coalesce(f"{OWN}low", own))
     size = placed.groupBy(f"{OWN}low").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id")).where("n > 1")
     return placed.join(size, f"{OWN}low").select(*identity, f"{OWN}low", "group_id", "n")
 

@@ -101,3 +101,17 @@ def test_all_ids_null_and_empty(spark):
     assert S.drop_duplicates(docs).count() == 1
     assert S.find_near_duplicates(docs).count() == 2
     assert S.find_near_duplicates(docs.limit(0)).count() == 0 and S.drop_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_unrelated_texts_stay_apart(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11, 5, 17)) + str(i) for i in range(3000)])
+    share = 1 / np.arange(1, 3001)
+    long = [" ".join(rng.choice(vocabulary, n, p=share / share.sum())) for n in (20_000, 20_000, 50_000, 50_000, 100_000, 100_000)]
+    a, b, _ = S.fingerprints(long)
+    assert any(np.bitwise_count(a[i] ^ a[j]) <= S.RADIUS and np.bitwise_count(b[i] ^ b[j]) <= S.CONFIRM for i in range(6) for j in range(i))
+    words = long[0].split()
+    copy = " ".join([*words[:9000], "changed", *words[9001:]])
+    docs = spark.createDataFrame(list(enumerate([*long, copy])), "doc_id long, text string")
+    assert sorted((r.doc_id, r.group_id) for r in S.find_near_duplicates(docs).collect()) == [(0, 0), (6, 0)]
+    assert sorted(r.doc_id for r in S.drop_duplicates(docs).collect()) == list(range(6))
