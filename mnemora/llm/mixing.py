@@ -12,7 +12,8 @@ Rates are rounded into copies without bias, floor(w_i + u_i), where u_i is a fix
 number of the document's id and text length, so no document depends on another one.
 
 Unless targets are given, a source's share of the tokens is its present share to the power
-``smoothing``, normalised, and limited to what rates can reach.
+``smoothing``, normalised, and limited to what rates can reach: where it can't, all shares stay
+nearer to the present ones.  Given targets out of reach are an error, as is a dual that isn't solved.
 
 Defined cases: a null source is a source of its own; null or empty texts have no tokens and a rate
 that only the normalisation sets; sources without tokens take no part in targets; repeated rows have
@@ -22,6 +23,8 @@ empty result; other columns, whatever their names, are carried along or ignored.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +47,27 @@ def default_targets(share: dict, smoothing: float = SMOOTHING) -> dict:
     return {s: v / total for s, v in raised.items()}
 
 
-def solve(counts: DataFrame, targets: dict | None = None, smoothing: float = SMOOTHING, rounds: int = 60, tolerance: float = 1e-9) -> tuple[dict, float, float]:
+def reach(goal: np.ndarray, share: np.ndarray, top: np.ndarray, low: np.ndarray) -> float:
+    """How far from the present shares (0) towards the goal (1, or more) there are rates, by sources' tokens of a document.
+
+    The shares that rates can give are a polytope, spanned by the longest and the shortest documents of each source.
+    """
+    far = np.inf
+    for size, sign in ((top, 1.0), (low, -1.0)):
+        if size.min() > 0:
+            now, then = sign * (share / size).sum(), sign * (goal / size).sum()
+            if then > now + 1e-12:
+                far = min(far, max(sign - now, 0.0) / (then - now))
+    return far
+
+
+def solve(counts: DataFrame, targets: dict | None = None, smoothing: float = SMOOTHING, rounds: int = 500, tolerance: float = 1e-9) -> tuple[dict, float, float]:
     """(tilt of each source, log normaliser, scale of tokens) for rows (source, tokens, n).
 
     ``counts`` must be written already, as every iteration reads it.  Tokens are divided by their
     mean, which keeps the dual well scaled.
     """
-    sums = counts.groupBy(_S).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col(_T)).alias("t"), F.max(_T).alias("top")).collect()
+    sums = counts.groupBy(_S).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col(_T)).alias("t"), F.max(_T).alias("top"), F.min(_T).alias("low")).collect()
     n_all, t_all = sum(r.n for r in sums), float(sum(r.t for r in sums))
     if not t_all:
         return {}, 0.0, 1.0
@@ -61,6 +78,14 @@ def solve(counts: DataFrame, targets: dict | None = None, smoothing: float = SMO
     want = dict(targets) if targets else default_targets(share, smoothing)
     goal = np.array([max(want.get(s, 0.0), 1e-9) for s in names])
     goal = goal / goal.sum()  # mean scaled tokens per document, by source; they sum to 1
+    present = np.array([share[s] for s in names])
+    empty = any(not r.low for r in sums)  # documents without tokens stand for shorter ones of any source
+    far = reach(goal, present, *(np.array([float(x) for x in c]) / scale for c in ([r.top for r in live], [0 if empty else r.low for r in live])))
+    if far < 1 and targets:
+        raise ValueError(f"no rates reach these targets; from the present shares they reach {far:.3g} of the way")
+    if 0.99 * far < 1 and not targets:  # on the very edge all rates but some would be 0
+        warnings.warn(f"targets are limited to {0.99 * far:.3g} of the way from the present shares", stacklevel=2)
+        goal = present + 0.99 * far * (goal - present)
     tilt = np.zeros(len(names))
     place = {s: i for i, s in enumerate(names)}
 
@@ -84,23 +109,27 @@ def solve(counts: DataFrame, targets: dict | None = None, smoothing: float = SMO
 
     value, m, q = moments(tilt)
     dual = value - tilt @ goal
+    solved = lambda g, most: (np.abs(g) < np.minimum(most, 1e3 * most * (goal + 1e-6))).all()
     for _ in range(rounds):
         gradient = m - goal
-        if np.abs(gradient).max() < tolerance:
+        if solved(gradient, tolerance):
             break
         hessian = np.diag(q) - np.outer(m, m)
-        step = np.linalg.solve(hessian + 1e-12 * np.eye(len(m)), gradient)
-        size = min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
-        while True:
+        unit = 1 / np.sqrt(np.maximum(np.diag(hessian), 1e-300))  # rare sources have small curvature
+        step = unit * np.linalg.solve(hessian * np.outer(unit, unit) + 1e-12 * np.eye(len(m)), unit * gradient)
+        size = 1.0
+        while size > 1e-9:
             new = tilt - size * step
             value, m2, q2 = moments(new)
-            if value - new @ goal <= dual - 1e-4 * size * float(gradient @ step) or size < 1e-6:
+            if value - new @ goal <= dual - 1e-4 * size * float(gradient @ step) + 1e-14 * max(1.0, abs(dual)):
                 break
             size /= 2
-        gained = dual - (value - new @ goal)
-        tilt, m, q, dual = new, m2, q2, value - new @ goal
-        if abs(gained) < 1e-15:
+        else:
+            value = dual + tilt @ goal
             break
+        tilt, m, q, dual = new, m2, q2, value - new @ goal
+    if not solved(m - goal, 1e3 * tolerance):
+        raise ArithmeticError(f"shares are still {np.abs(m - goal).max():.3g} off their targets")
     return {s: float(tilt[i]) for s, i in place.items()}, value, scale
 
 

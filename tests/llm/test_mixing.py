@@ -63,3 +63,28 @@ def test_no_tokens(spark, texts):
     d = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = M.mix_rates(spark, d).collect()
     assert len(got) == len(texts) and all(r.copies == 1 for r in got)
+
+
+def rare(spark):
+    """Two sources of long documents and a rare one of short documents, as counts."""
+    rows = [("a", 300 + 2 * i, 8000) for i in range(100)] + [("b", 300 + 2 * i, 2000) for i in range(100)] + [("c", i, 200) for i in range(3, 8)]
+    return rows, spark.createDataFrame(rows, f"{M._S} string, {M._T} long, n long").coalesce(1).cache()
+
+
+def test_rare_source_of_short_documents_meets_its_target(spark):
+    rows, counts = rare(spark)
+    tilt, log_z, scale = M.solve(counts)
+    total = sum(t * n for _, t, n in rows)
+    present = {s: sum(t * n for x, t, n in rows if x == s) / total for s in "abc"}
+    got = {s: sum(n * t * np.exp(tilt[s] * t / scale - log_z) for x, t, n in rows if x == s) / total for s in "abc"}
+    for s, v in M.default_targets(present).items():
+        assert np.isclose(got[s], v, rtol=1e-5)
+
+
+def test_targets_out_of_reach(spark):
+    _, counts = rare(spark)
+    with pytest.raises(ValueError):
+        M.solve(counts, {"a": 0.3, "b": 0.2, "c": 0.5})
+    with pytest.warns(UserWarning):
+        tilt, log_z, _ = M.solve(counts, smoothing=0.0)
+    assert np.isfinite([*tilt.values(), log_z]).all()
