@@ -33,15 +33,20 @@ _NEAR = 32
 _SHAPE = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]{1,128}@[\w-]{1,64}(?:\.[\w-]{1,64})+)"
     r"|(?P<quad>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])(?!\.\d))"
-    r"|(?P<key>(?<![\w/+-])(?=[A-Za-z_/+-]{0,256}\d)(?=\d{0,256}[A-Za-z])[A-Za-z0-9_/+-]{16,512}(?![\w]))"
-    r"|(?P<phone>(?<![\w+])\+?\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?!\d))"
+    r"|(?P<key>(?<![\w/+-])(?=[A-Za-z_/+-]*\d)(?=\d*[A-Za-z])[A-Za-z0-9_/+-]{16,}(?![\w]))"
+    r"|(?P<phone>(?<![\w+])\+?\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?!\d)"
+    # Groups of two digits (fr, es), then numbers with a calling code: of two parts (de), without blanks, of more parts.
+    r"|(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d|0\d)(?:[ .-]\d{2}){4}(?!\d)|(?<![\w+])(?:\+\d{1,3}[ .-])?[6-9]\d{2}(?:[ .-]\d{2}){3}(?!\d)"
+    r"|(?<![\w+])\+(?:\d{1,3}[ .-]\(?\d{1,5}\)?[ ./-]?\d{4,10}|\d{8,15}|\d{1,3}[ .-]\(?\d{1,5}\)?(?:[ .-]\d{2,4}){2,4})(?!\d))"
     r"|(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
     r"|(?P<long>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<number>\d+(?:[.,:/-]\d+)*)"
 )
-_HINT = re.compile(r"[^\s]*[0-9@][^\s]*(?:[^\S\n]+[^\s]*[0-9@][^\s]*)*")
+# Blocks of four capitals, as IBANs have them, may stand between two such tokens.
+_HINT = re.compile(r"[^\s]*[0-9@][^\s]*(?:[^\S\n]+(?:[A-Z]{4}[^\S\n]+){0,2}[^\s]*[0-9@][^\s]*)*")
+_BLOCKS = re.compile(r"(?<!\w)(?=([A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w))")
 _DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au ch at be pl se no fi dk pt br mx jp cn in ru".split())
-_CALLING = re.compile(r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])\b")
+_CALLING = re.compile(r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
 _ISSUER = re.compile(r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)")
 _CONTEXT = {
     "EMAIL": re.compile(r"e-?mail|contact|correo|courriel|mailto|kontakt", re.I),
@@ -70,9 +75,28 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     """
     out = []
     for run in _HINT.finditer(text or ""):
-        for m in _SHAPE.finditer(text, run.start(), run.end()):
-            if m.lastgroup != "number" or m.end() - m.start() > 1:
-                out.append((m.start(), m.end(), m.lastgroup))
+        at = run.start()
+        for start, end in [*_grouped_ibans(text, *run.span()), (run.end(), run.end())]:
+            for m in _SHAPE.finditer(text, at, start):
+                if m.lastgroup != "number" or m.end() - m.start() > 1:
+                    out.append((m.start(), m.end(), m.lastgroup))
+            if end > start:
+                out.append((start, end, "iban"))
+            at = end
+    return out
+
+
+def _grouped_ibans(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of blocks of four whose check digits are right, the longest at each place."""
+    out, at = [], start
+    for m in _BLOCKS.finditer(text, start, stop):
+        span = m[1]
+        while m.start() >= at and span:
+            if _iban(span.replace(" ", "")):
+                at = m.start() + len(span)
+                out.append((m.start(), at))
+                break
+            span = span.rpartition(" ")[0]
     return out
 
 
@@ -95,7 +119,7 @@ def votes(text: str, start: int, end: int, shape: str) -> list[int]:
         v[1] = _K["IP"] if max(quad) <= 255 else _K["NONE"]
         v[9] = _K["NONE"] if quad[0] in (0, 127) or quad == [255] * 4 else _K["IP"] if max(quad) <= 255 else -1
     if shape == "phone":
-        v[2] = _K["PHONE"] if 9 <= len(digits) <= 14 else _K["NONE"]
+        v[2] = _K["PHONE"] if 9 <= len(digits) <= 15 else _K["NONE"]
         v[10] = _K["PHONE"] if _CALLING.match(span) else -1
     if shape == "long":
         v[3] = _K["CARD"] if luhn(digits) else _K["NONE"]
@@ -106,6 +130,8 @@ def votes(text: str, start: int, end: int, shape: str) -> list[int]:
         v[6] = _K["IBAN"] if _iban(span) else -1
         quoted = before[-1:] in "\"'`" and before[-1:] != "" and text[end : end + 1] in "\"'`"
         v[13] = _K["SECRET"] if quoted else -1
+    if shape == "iban":
+        v[6] = _K["IBAN"]
     if shape == "ssn":
         v[5] = _K["NATIONAL_ID"]
     if shape == "number":
@@ -116,7 +142,7 @@ def votes(text: str, start: int, end: int, shape: str) -> list[int]:
     return v
 
 
-SHAPES = ["email", "quad", "key", "phone", "ssn", "long", "number"]
+SHAPES = ["email", "quad", "key", "phone", "ssn", "long", "number", "iban"]
 
 
 def span_features(text: str, start: int, end: int, shape: str) -> list[float]:
@@ -128,7 +154,7 @@ def span_features(text: str, start: int, end: int, shape: str) -> list[float]:
         1.0, *(float(shape == s) for s in SHAPES), min(len(span), 64) / 32, len(digits) / n, min(len(digits), 20) / 10,
         float("@" in span), min(span.count("."), 4) / 4, float(span.startswith("+")), float("(" in span), len(set(span)) / n,
         float(shape == "long" and luhn(digits)), float(shape == "long" and bool(_ISSUER.match(digits)) and luhn(digits)),
-        float(shape == "quad" and max(map(int, span.split("."))) <= 255), float(bool(_CALLING.match(span))), float(shape == "key" and _iban(span)),
+        float(shape == "quad" and max(map(int, span.split("."))) <= 255), float(bool(_CALLING.match(span))), float(shape == "iban" or shape == "key" and _iban(span)),
         float(shape == "key" and len(set(span.lower())) >= 8 and len(span) >= 20), float(before[-1:] in ("'", '"')),
         *(float(bool(p.search(before))) for p in _CONTEXT.values()),
     ]

@@ -61,3 +61,17 @@ def test_empty_and_nothing_found(spark):
     docs = spark.createDataFrame([(1, "no data at all")], "doc_id long, text string")
     for d in (docs, docs.limit(0)):
         assert P.find_pii(d).count() == 0 and P.redact(spark, d).count() == d.count()
+
+
+def test_long_keys_and_foreign_numbers(spark):
+    long = ("a1B2c3D4e5" * 6000)[:-1]
+    phones = ["+33 6 12 34 56 78", "06 12 34 56 78", "+49 30 1234567", "+15551234567", "+34 612 34 56 78", "612 34 56 78"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "ES91 2100 0418 4502 0005 1332"]
+    shapes = {long[:600]: "key", long: "key", "x" * 300 + "1" + "y" * 300: "key"} | dict.fromkeys(phones, "phone") | dict.fromkeys(ibans, "iban")
+    for s, shape in shapes.items():
+        assert P.candidates(f"see {s} 2024 there")[0] == (4, 4 + len(s), shape), s
+    assert all(shape != "iban" for *_, shape in P.candidates("DE88 3704 0044 0532 0130 00"))
+    rows = [(i, f"see {s} there, chapter {i + 10}") for i, s in enumerate([long[:600], long, *phones, *ibans] * 5)]
+    out = [r.text for r in P.redact(spark, spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    kinds = (["SECRET"] * 2 + ["PHONE"] * 6 + ["IBAN"] * 3) * 5
+    assert out == [f"see [{k}] there, chapter {i + 10}" for i, k in enumerate(kinds)]
