@@ -347,6 +347,7 @@ def connected_anchors(spark, sf):
 
 
 def ppr(spark, sf):
+    """12 rounds, as the SQL has; ``ppr_documents`` runs to the tolerance."""
     g = settle(graph.edges(_ppmi(spark, sf), _LEAST))
     return graph.pagerank(g, ANCHORS, rounds=12, tolerance=None).withColumn("rank", F.round("rank", 6))
 
