@@ -1,7 +1,7 @@
 """Exact k nearest neighbours of every vector: a Voronoi join with bounds from summaries.
 
-Vectors are assigned to their nearest pivot.  Per cell only its radius and the distances of its k+1
-members nearest to the pivot come to the driver; from these the triangle inequality gives each cell
+Vectors are assigned to their nearest pivot.  Per cell only its radius and the distances of its k+m
+members nearest to the pivot come to the driver (m: most vectors of one ``vec_id``); from these the triangle inequality gives each cell
 an upper bound on its queries' k-th neighbour distance.  Neighbouring cells form groups of bounded
 size, and a vector is replicated to a group only if its lower bound on the distance to some cell of
 the group is within that cell's upper bound.  Each group is then solved locally and exactly.
@@ -123,21 +123,23 @@ def knn_join(spark: SparkSession, vectors: DataFrame, k: int = K, group: int = G
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(exact)], ["id", "v", "cell", "far"])
 
     placed = settle(clean.mapInArrow(assign, "id long, v array<double>, cell int, far double"))
-    # Summaries: size, radius and the k+1 smallest pivot distances of each cell.
+    # So many members may have the query's own id.
+    own = placed.groupBy("id").count().agg(F.max("count")).first()[0]
+    # Summaries: size, radius and the k+own smallest pivot distances of each cell.
     first = F.row_number().over(Window.partitionBy("cell").orderBy("far", "id"))
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"))
-    nearest = placed.select("cell", "far", first.alias("i")).where(F.col("i") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
+    nearest = placed.select("cell", "far", first.alias("i")).where(F.col("i") <= k + own).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
     rows = sorted(summary.join(nearest, "cell").collect(), key=lambda r: r.cell)
     cells = np.array([r.cell for r in rows])
     radius, size = np.array([r.r for r in rows]), np.array([r.n for r in rows])
     between = _distances(pivots[cells], pivots[cells])
     near_far = np.concatenate([r.near for r in rows])
     near_cell = np.repeat(np.arange(len(rows)), [len(r.near) for r in rows])
-    # theta[i]: no query of cell i has its k-th neighbour farther off (k+1, as one of them may be itself).
+    # theta[i]: no query of cell i has its k-th neighbour farther off (k+own, as so many may have its id).
     theta = np.empty(len(rows))
     for i in range(len(rows)):
         upper = radius[i] + between[i][near_cell] + near_far
-        theta[i] = np.partition(upper, min(k, len(upper) - 1))[min(k, len(upper) - 1)] if len(upper) > k else np.inf
+        theta[i] = np.partition(upper, k + own - 1)[k + own - 1] if len(upper) >= k + own else np.inf
     groups = _group_cells(between, size, group)
     n_groups = int(groups.max()) + 1
     position = np.full(int(cells.max()) + 1, -1)

@@ -35,3 +35,14 @@ def test_odd_rows(spark):
     assert result(N.knn_join(spark, df, 10)) == {1: [(2, 1.0), (3, 1.0)], 2: [(1, 1.0), (3, round(2**0.5, 9))], 3: [(1, 1.0), (2, round(2**0.5, 9))]}
     assert N.knn_join(spark, df.limit(0)).count() == 0
     assert N.knn_join(spark, df.where("vec_id = 2")).count() == 0
+
+
+def test_many_close_vectors_of_one_id(spark):
+    rng = np.random.default_rng(9)
+    rows = [(0, (0.01 * rng.normal(size=2)).tolist()) for _ in range(40)]
+    rows += [(i, (np.array([10.0 * (i % 3 + 1), 10.0]) + rng.normal(size=2)).tolist()) for i in range(1, 61)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(round(r.distance, 6) for r in N.knn_join(spark, df, k=3, group=20).where("vec_id = 0").collect())
+    x = np.array([v for _, v in rows])
+    far = np.sort(np.sqrt(((x[:40, None] - x[None, 40:]) ** 2).sum(2)), axis=1)[:, :3]
+    assert len(got) == 120 and np.allclose(got, np.sort(far.ravel()), atol=1e-5)
