@@ -7,61 +7,28 @@ truncates a text.
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-#: Code points per slice; a longer text makes a slice of its own.
-SLICE_CHARS = 1_000_000
-_P = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
-_Q = np.uint64(0xD6E8FEB86659FD93)
-_PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
+from mnemora.functions.spans import Spans, code_points, flags, hash_text, mix, runs, slices  # noqa: F401
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """SplitMix64 finaliser: spreads every input bit over the 64 output bits."""
-    with np.errstate(over="ignore"):
-        x = x ^ (x >> np.uint64(30))
-        x = x * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x = x * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return x
+_Q = np.uint64(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-case map, word-character flags and a random 64-bit code for each code point."""
+def _lower() -> np.ndarray:
+    """Lower-case map of code points (those with a single one)."""
     lower = np.arange(0x110000, dtype=np.uint32)
-    word = np.zeros(0x110000, dtype=bool)
     for c in range(0x30000):
         s = chr(c)
         low = s.lower()
         if low != s and len(low) == 1:
             lower[c] = ord(low)
-        word[c] = unicodedata.category(s)[0] in "LNM"
-    with np.errstate(over="ignore"):
-        code = mix(np.arange(1, 0x110001, dtype=np.uint64) * _P)
-    return lower, word, code
-
-
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+    return lower
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """First n powers of the hash base ("up") or of its inverse ("down"), modulo 2**64."""
-    if len(_powers[kind]) < n:
-        m = 1 << (n - 1).bit_length()
-        base = np.full(m, _P if kind == "up" else _PINV, np.uint64)
-        base[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[kind] = np.multiply.accumulate(base)
-    return _powers[kind][:n]
-
-
-class Words:
+class Words(Spans):
     """The words (runs of letters, digits and marks, lower-cased) of a slice of texts.
 
     ``cps`` lower-cased code points of all texts joined by line feeds; ``starts``/``ends`` of each
@@ -71,36 +38,14 @@ class Words:
 
     def __init__(self, texts: list[str | None]):
         texts = [t or "" for t in texts]
-        lower, word, self._code = _tables()
-        raw = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.raw = raw
-        self.cps = lower[raw]
+        self.raw = code_points("\n".join(texts))
+        super().__init__(_lower()[self.raw])
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.begin = np.concatenate(([0], np.cumsum(lengths)))
-        flag = np.zeros(len(raw) + 2, np.int8)
-        flag[1:-1] = word[raw]
-        edge = np.flatnonzero(flag[1:] != flag[:-1])
-        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.starts, self.ends = runs(flags("LNM")[self.raw])
         self.first = np.searchsorted(self.starts, self.begin)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.n_docs = len(texts)
-        self._prefix: np.ndarray | None = None
-
-    def prefix(self) -> np.ndarray:
-        """Prefix sums of code * base**position: any span's hash is a difference of two."""
-        if self._prefix is None:
-            n = len(self.cps)
-            out = np.zeros(n + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                np.cumsum(self._code[self.cps] * _power("up", max(n, 1))[:n], out=out[1:])
-            self._prefix = out
-        return self._prefix
-
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hash of each span of code points, independent of its position."""
-        p = self.prefix()
-        with np.errstate(over="ignore"):
-            return mix((p[ends] - p[starts]) * _power("down", max(len(self.cps), 1))[starts])
 
     def hashes(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
@@ -129,20 +74,4 @@ class Words:
 
 def hash_word(word: str) -> int:
     """The hash that ``Words.hashes`` gives this one (lower-cased) word."""
-    cps = np.frombuffer(word.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    with np.errstate(over="ignore"):
-        total = (_tables()[2][cps] * _power("up", len(cps))).sum(dtype=np.uint64)
-    return int(mix(np.array([total], np.uint64))[0])
-
-
-def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts with at most ``chars`` code points (or one text)."""
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) + 1 if t else 1
-        if i > at and total + n > chars:
-            yield at, i
-            at, total = i, 0
-        total += n
-    if at < len(texts):
-        yield at, len(texts)
+    return hash_text(word.lower())
