@@ -2,7 +2,7 @@
 
 Candidate spans (anything shaped like an address, number or key) are found in whole texts.  Three
 families of labelers vote on each for a kind or abstain: regular expressions on the span, gazetteers
-(top-level domains, card issuers, reserved address blocks, calling codes) and words of the context.
+(top-level domains, card issuers, reserved address blocks, calling codes, IBAN lengths) and words of the context.
 A Dawid-Skene model, fitted by expectation-maximisation on the counts of all vote patterns of the
 corpus, estimates how reliable each labeler is.  Its posteriors over a bounded sample of spans
 train a softmax classifier on features of span and context, which makes the final decision.
@@ -42,12 +42,41 @@ _SHAPE = re.compile(
     r"|(?P<long>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<number>\d+(?:[.,:/-]\d+)*)"
 )
-# Blocks of four capitals, as IBANs have them, may stand between two such tokens.
-_HINT = re.compile(r"[^\s]*[0-9@][^\s]*(?:[^\S\n]+(?:[A-Z]{4}[^\S\n]+){0,2}[^\s]*[0-9@][^\s]*)*")
+# Tokens with a digit or an at sign; blocks of four capitals, as IBANs have them, may stand between two.
+# Tokens are only entered at their start and possessively, which is linear however long they are.
+_HINT = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[^\S\n]++(?:[A-Z]{4}[^\S\n]++){0,2}[^\s0-9@]*+[0-9@]\S*+)*+")
 _BLOCKS = re.compile(r"(?<!\w)(?=([A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w))")
-_DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl eu us ca au ch at be pl se no fi dk pt br mx jp cn in ru".split())
-_CALLING = re.compile(r"^\+(1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
-_ISSUER = re.compile(r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)")
+#: Generic and country top-level domains (public registry).
+_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro mobi asia cat jobs tel travel coop museum aero arpa app dev page blog shop site online tech store xyz club cloud news wiki email live world example test "
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu "
+    "fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly "
+    "ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz "
+    "tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+#: Country calling codes (ITU E.164).
+_CALLING = re.compile(
+    r"^\+(1|7|20|21[1-368]|22\d|23\d|24\d|25\d|26\d|27|29[0-17-9]|3[0-469]|35\d|37\d|38[0-35-79]|4[013-9]|42[013]|5[1-8]|50\d|59\d|6[0-6]|67[0-9]|68\d|69[0-2]|8[1246]|80[08]|85[02356]|870|88[0-368]|9[0-58]|96[0-8]|97\d|99[2-68])"
+)
+#: Issuer ranges of payment cards (ISO/IEC 7812).
+_ISSUER = re.compile(r"^(4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|30[0-5]|3095|3[689]|6011|64[4-9]|65|62|35(2[89]|[3-8])|50|5[6-8]|6[37])")
+#: Length of an IBAN by country (public registry).
+_IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
+
+
+def _reserved(a: int, b: int, c: int) -> bool:
+    """Whether an address lies in a block that names no host of the internet (RFC 5735, 6598)."""
+    return a >= 224 or (a, b) == (169, 254) or (a, b, c) in ((192, 0, 2), (198, 51, 100), (203, 0, 113)) or (a == 198 and b in (18, 19))
+
+
 _CONTEXT = {
     "EMAIL": re.compile(r"e-?mail|contact|correo|courriel|mailto|kontakt", re.I),
     "PHONE": re.compile(r"\b(tel|phone|call|mobile|fax|telefon|t[ée]l[ée]fono?)\b", re.I),
@@ -100,10 +129,14 @@ def _grouped_ibans(text: str, start: int, stop: int) -> list[tuple[int, int]]:
     return out
 
 
+_IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
+_LETTER_DIGITS = {ord(c): str(int(c, 36)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 def _iban(s: str) -> bool:
-    if not re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", s):
+    if not 15 <= len(s) <= 34 or not s.isascii() or not _IBAN.fullmatch(s):
         return False
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return _IBAN_LENGTHS.get(s[:2], len(s)) == len(s) and int((s[4:] + s[:4]).translate(_LETTER_DIGITS)) % 97 == 1
 
 
 def votes(text: str, start: int, end: int, shape: str) -> list[int]:
@@ -117,7 +150,7 @@ def votes(text: str, start: int, end: int, shape: str) -> list[int]:
         v[8] = _K["EMAIL"] if span.rpartition(".")[2].lower() in _DOMAINS else -1
     if shape == "quad":
         v[1] = _K["IP"] if max(quad) <= 255 else _K["NONE"]
-        v[9] = _K["NONE"] if quad[0] in (0, 127) or quad == [255] * 4 else _K["IP"] if max(quad) <= 255 else -1
+        v[9] = _K["NONE"] if quad[0] in (0, 127) or quad == [255] * 4 else -1 if max(quad) > 255 or _reserved(*quad[:3]) else _K["IP"]
     if shape == "phone":
         v[2] = _K["PHONE"] if 9 <= len(digits) <= 15 else _K["NONE"]
         v[10] = _K["PHONE"] if _CALLING.match(span) else -1
