@@ -24,55 +24,153 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.functions.spans import Spans, blanks, code_points, hash_text, runs, slices
 from mnemora.llm.common import settle, table
+from mnemora.llm.textkit import mix
 
 SUPPORT = 0.6
 LEAST_PAGES = 4
 LEAST_CLASS = 2
-#: Pages whose tokens are counted together in the first pass.
+#: Pages whose tokens are counted together in the first pass, at least.
 _PART = 2_000
 #: Tables of one row per host are broadcast up to this many bytes, and joined by shuffling beyond.
 BROADCAST_BYTES = 64 << 20
 
-# Words first and without case folding, as most tokens are words.
-_TOKEN = re.compile(r"[^<\s]+|<!--.*?-->|<(?i:script|style)\b.*?</(?i:script|style)\s*>|<[^>]*>|<", re.S)
+_OPEN = re.compile(r"<!--|<(?:script|style)\b|<[^>]*>", re.I)
+_CLOSE = re.compile(r"</(?:script|style)\s*>", re.I)
 _VOLATILE = re.compile(r"""\b(href|src|id|content|style|title|alt|value|datetime|data-[\w-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
+_LESS = ord("<")
+
+
+def tag_spans(page: str) -> list[int]:
+    """Starts and ends, in turn, of the tags, comments, scripts and styles of a page.
+
+    Every search ends at a closing mark that exists or isn't repeated, so it is linear in any page.
+    """
+    out: list[int] = []
+    at, last = 0, page.rfind(">") + 1  # no tag ends beyond
+    comments = scripts = True
+    while at < last:
+        for m in _OPEN.finditer(page, at, last):
+            start, end = m.span()
+            if page[end - 1] != ">":
+                found = -1
+                if page[end - 1] == "-":
+                    if comments:
+                        found = page.find("-->", end)
+                        comments = found >= 0
+                    end = found + 3
+                elif scripts:
+                    close = _CLOSE.search(page, end)
+                    scripts = close is not None
+                    found = end = close.end() if close else -1
+                if found < 0:
+                    end = page.find(">", start) + 1
+                out += (start, end)
+                at = end
+                break
+            out += (start, end)
+        else:
+            at = last
+    return out
 
 
 def tokenize(page: str) -> list[str]:
-    return _TOKEN.findall(page)
+    """Tags, comments, scripts and styles as a whole, and the words between them; a ``<`` that nothing closes is a word."""
+    t = Tokens([page])
+    return [page[a:b] for a, b in zip(t.starts, t.ends)]
 
 
 def token_key(token: str) -> int:
     """Signed 64-bit identity of a token; tags lose their volatile values."""
     if token[0] == "<" and len(token) > 1:
         low = token[:8].lower()
-        if low.startswith("<!--"):
+        if low.startswith("<!--") and token.endswith("-->"):
             token = "<!-- -->"
         elif low.startswith(("<script", "<style")):
             token = low.split()[0].rstrip(">") + " whole>"
         else:
             token = _SPACE.sub(" ", _VOLATILE.sub(r"\1", token)).lower()
-    h = xxhash.xxh64_intdigest(token)
+        h = xxhash.xxh64_intdigest(token)
+    else:
+        h = hash_text(token)
     return h - (1 << 64) if h >> 63 else h
 
 
-class _Keys(dict):
-    """token -> key, kept for the tokens that a task meets first (up to a bound)."""
-
-    def __missing__(self, token: str) -> int:
-        k = token_key(token)
-        if len(self) < 200_000 and len(token) < 200:
-            self[token] = k
-        return k
+class Tokens(Spans):
+    """The tokens of a slice of pages, in order: ``starts``, ``ends``, ``page`` (its index), whether ``tag``, and ``key``."""
+
+    def __init__(self, pages: list[str], known: dict[int, int] | None = None):
+        self.text = "\n".join(pages)
+        super().__init__(code_points(self.text))
+        begin = np.cumsum([0, *(len(p) + 1 for p in pages)])
+        found = [tag_spans(p) for p in pages]
+        flat = np.array([x for f in found for x in f], np.int64) + np.repeat(begin[:-1], [len(f) for f in found])
+        tag_starts, tag_ends = flat[0::2], flat[1::2]
+        step = np.zeros(len(self.cps) + 1, np.int8)
+        step[tag_starts] += 1
+        step[tag_ends] -= 1
+        outside = np.cumsum(step, dtype=np.int8)[:-1] == 0
+        less = self.cps == _LESS
+        word_starts, word_ends = runs(outside & ~less & ~blanks()[self.cps])
+        lone = np.flatnonzero(outside & less)
+        starts = np.concatenate((word_starts, tag_starts, lone))
+        order = np.argsort(starts, kind="stable")
+        self.starts = starts[order]
+        self.ends = np.concatenate((word_ends, tag_ends, lone + 1))[order]
+        self.tag = np.repeat([False, True, False], [len(word_starts), len(tag_starts), len(lone)])[order]
+        self.lone = order >= len(word_starts) + len(tag_starts)
+        self.page = np.repeat(np.arange(len(pages)), np.diff(np.searchsorted(self.starts, begin)))
+        self.key = self.span_hash(self.starts, self.ends).view(np.int64)
+        raw, first, back = np.unique(self.key[self.tag], return_index=True, return_inverse=True)
+        at = np.flatnonzero(self.tag)[first]
+        known = {} if known is None else known
+        keys = []
+        for k, i, j in zip(raw.tolist(), self.starts[at].tolist(), self.ends[at].tolist()):
+            if k not in known:
+                new = token_key(self.text[i:j])
+                if len(known) >= 200_000:
+                    keys.append(new)
+                    continue
+                known[k] = new
+            keys.append(known[k])
+        self.key[self.tag] = np.array(keys, np.int64)[back]
+
+
+def _of_host(host: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for a host (by index) and a token."""
+    with np.errstate(over="ignore"):
+        return mix(key.view(np.uint64) + mix(host.astype(np.uint64) + np.uint64(1)))
+
+
+def _numbered(hosts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """(number of each host, first row of each, number of each row)."""
+    number: dict[str, int] = {}
+    first = []
+    for i, h in enumerate(hosts):
+        if h not in number:
+            number[h] = len(number)
+            first.append(i)
+    return number, np.array(first, np.int64), np.array([number[h] for h in hosts], np.int64)
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """One list of values for each of n owners, which are sorted."""
+    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def _list_at(column: pa.Array, row: int) -> np.ndarray:
+    """The values of one row of a list column; none for null."""
+    return column.slice(row, 1).flatten().to_numpy(zero_copy_only=False)
 
 
 def host_of(url: str = "url") -> Column:
@@ -83,20 +181,35 @@ def _frequent(pages: DataFrame, support: float) -> DataFrame:
     """(host, tokens): all tokens that reach the support in some part of the host's pages."""
 
     def run(batches):
-        keys, seen, hosts, n = _Keys(), {}, Counter(), 0
+        known, number, size, seen, n = {}, {}, [], [], 0
 
         def flush():
-            out = [(h, t) for h, c in seen.items() for t, k in c.items() if k >= support * hosts[h] - 1e-9]
+            names = list(number)
+            h, t = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*seen) if seen else ((), ())))
+            order = np.lexsort((t, h))
+            h, t = h[order], t[order]
+            edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1]), [True]))) if len(h) else np.zeros(1, np.int64)
+            count, h, t = np.diff(edge), h[edge[:-1]], t[edge[:-1]]
+            keep = count >= support * np.array(size, np.float64)[h] - 1e-9 if len(h) else np.zeros(0, bool)
+            number.clear()
+            size.clear()
             seen.clear()
-            hosts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([t for _, t in out], pa.int64())], ["host", "token"])
+            return pa.RecordBatch.from_arrays([pa.array([names[i] for i in h[keep]], pa.string()), pa.array(t[keep], pa.int64())], ["host", "token"])
 
         for batch in batches:
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hosts[host] += 1
-                seen.setdefault(host, Counter()).update({keys[t] for t in set(tokenize(page))})
-                n += 1
-                if n % _PART == 0:
+            hosts, htmls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in slices(htmls):
+                tokens = Tokens(htmls[a:b], known)
+                for h in hosts[a:b]:
+                    if h not in number:
+                        number[h] = len(size)
+                        size.append(0)
+                    size[number[h]] += 1
+                _, once = np.unique(_of_host(tokens.page, tokens.key), return_index=True)
+                seen.append((np.array([number[h] for h in hosts[a:b]], np.int64)[tokens.page[once]], tokens.key[once]))
+                n += b - a
+                if n >= _PART:
+                    n = 0
                     yield flush()
         yield flush()
 
@@ -113,26 +226,29 @@ def _occurrences(pages: DataFrame, frequent: DataFrame) -> DataFrame:
     longs = frequent.agg(F.sum(F.size("tokens"))).first()[0] or 0
 
     def run(batches):
-        keys, known = _Keys(), {}
+        known = {}
         for batch in batches:
-            out = [[], [], [], [], []]
-            for host, page, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if host not in known:
-                    known.clear()
-                    known[host] = frozenset(tokens)
-                wanted, count, first, last = known[host], {}, {}, {}
-                for n, k in enumerate([k for k in map(keys.__getitem__, tokenize(page)) if k in wanted]):
-                    if k not in first:
-                        first[k] = n
-                    count[k] = count.get(k, 0) + 1
-                    last[k] = n
-                out[0].append(host)
-                out[1].append(list(count))
-                out[2].append(list(count.values()))
-                out[3].append(list(first.values()))
-                out[4].append([last[k] for k in count])
-            arrays = [pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in out[2:])]
-            yield pa.RecordBatch.from_arrays(arrays, ["host", "token", "n", "first", "last"])
+            htmls, every = batch.column(1).to_pylist(), batch.column(0)
+            for a, b in slices(htmls):
+                tokens, n = Tokens(htmls[a:b], known), b - a
+                hosts = every.slice(a, n)
+                _, first_row, host = _numbered(hosts.to_pylist())
+                wanted = [_list_at(batch.column(2), a + i) for i in first_row]
+                wanted = np.sort(_of_host(np.repeat(np.arange(len(wanted)), [len(w) for w in wanted]), np.concatenate(wanted).astype(np.int64)))
+                code = _of_host(host[tokens.page], tokens.key)
+                keep = np.zeros(len(code), bool)
+                if len(wanted):
+                    keep = wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
+                page, key = tokens.page[keep], tokens.key[keep]
+                place = np.arange(len(page)) - np.searchsorted(page, page)
+                order = np.lexsort((place, key, page))
+                p, k, at = page[order], key[order], place[order]
+                edge = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (k[1:] != k[:-1]), [True]))) if len(p) else np.zeros(1, np.int64)
+                p, k, first, last, count = p[edge[:-1]], k[edge[:-1]], at[edge[:-1]], at[edge[1:] - 1], np.diff(edge)
+                order = np.lexsort((first, p))
+                p = p[order]
+                columns = [_lists(x[order], p, n, kind) for x, kind in ((k, pa.int64()), (count, pa.int32()), (first, pa.int32()), (last, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([hosts.cast(pa.string()), *columns], ["host", "token", "n", "first", "last"])
 
     joined = _with_host_rows(pages, frequent, longs).select("host", "html", "tokens")
     return joined.mapInArrow(run, "host string, token array<long>, n array<int>, first array<int>, last array<int>")
@@ -203,40 +319,55 @@ def _gap(edge: list[int], ahead: list[tuple[int, int]], place: int) -> int:
     return ahead[i - 1][1] + 1 if i else 0
 
 
-def slots_of(page: str, root: list[int], inner: dict[int, int], keys: dict | None = None) -> list[tuple[int, str]]:
-    """(slot, text) of the non-empty slots of a page.
+def slots_of(tokens: Tokens, host: np.ndarray, templates: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[list, list, list]:
+    """(page, slot, text) of the non-empty slots of pages; ``host`` is each page's index in the (root, inner, slot) templates.
 
-    Only tags and template tokens are looked at singly; the words between them are taken at once.
+    A root token ends the slot before it if none that follows it in the root came earlier.  Text is
+    what is neither a tag nor a template token in its place; nested tokens break lines.
     """
-    at = {t: i for i, t in enumerate(root)}
-    keys = _Keys() if keys is None else keys
-    tokens = tokenize(page)
-    ks = list(map(keys.__getitem__, tokens))
-    marks = [i for i, (t, k) in enumerate(zip(tokens, ks)) if (t[0] == "<" and t != "<") or k in at or k in inner]
-    r, out, pending, begin = 0, {}, " ", 0
-    for m in [*marks, len(tokens)]:
-        if m > begin:
-            parts = out.setdefault(r, [])
-            if parts:
-                parts.append(pending)
-            parts.append(" ".join(tokens[begin:m]))
-            pending = " "
-        if m == len(tokens):
-            break
-        begin = m + 1
-        k, token = ks[m], tokens[m]
-        i = at.get(k, -1)
-        if i >= r:
-            r, pending = i + 1, " "
-        elif inner.get(k) == r:
-            pending = "\n"
-        elif token[0] != "<" or token == "<":  # a template word out of its place is text
-            parts = out.setdefault(r, [])
-            if parts:
-                parts.append(pending)
-            parts.append(token)
-            pending = " "
-    return [(s, entities.unescape("".join(p))) for s, p in sorted(out.items())]
+    owner = np.repeat(np.arange(len(templates)), [len(t[0]) for t in templates])
+    inner_owner = np.repeat(np.arange(len(templates)), [len(t[1]) for t in templates])
+    every = lambda i: np.concatenate([t[i] for t in templates]).astype(np.int64) if templates else np.zeros(0, np.int64)
+    code = _of_host(host[tokens.page], tokens.key)
+
+    def look_up(owner, key, value):
+        known = _of_host(owner, key)
+        if not len(known):
+            return np.full(len(code), -1, np.int64)
+        order = np.argsort(known)
+        at = order[np.minimum(np.searchsorted(known, code, sorter=order), len(known) - 1)]
+        return np.where(known[at] == code, value[at], -1)
+
+    place = np.concatenate([np.arange(len(t[0])) for t in templates]).astype(np.int64) if templates else np.zeros(0, np.int64)
+    root, inner = look_up(owner, every(0), place), look_up(inner_owner, every(1), every(2))
+    base = tokens.page * (1 << 32) - 1
+    furthest = np.maximum.accumulate(np.maximum(base + root + 1, base)) if len(root) else base
+    before = np.maximum(np.concatenate(([-1], furthest[:-1])), base) if len(root) else base
+    accepted = (root >= 0) & (base + root + 1 > before)
+    slot = furthest - base
+    breaks = ~accepted & (inner >= 0) & (inner == slot)
+    text = np.flatnonzero(~accepted & ~breaks & ~tokens.tag)
+    if not len(text):
+        return [], [], []
+    lines = np.cumsum(breaks)
+    page, slot, lone = tokens.page[text], slot[text], tokens.lone[text]
+    new_slot = np.concatenate(([True], (page[1:] != page[:-1]) | (slot[1:] != slot[:-1])))
+    new_line = np.concatenate(([False], lines[text][1:] != lines[text][:-1]))
+    # Runs of words that nothing divides are taken from the page at once.
+    head = new_slot | lone | np.concatenate(([True], (np.diff(text) > 1) | lone[:-1]))
+    at = np.flatnonzero(head)
+    ends = tokens.ends[text[np.concatenate((at[1:], [len(text)])) - 1]]
+    parts: list[str] = []
+    texts: list[str] = []
+    for first, line, a, b in zip(new_slot[at].tolist(), new_line[at].tolist(), tokens.starts[text[at]].tolist(), ends.tolist()):
+        if first and parts:
+            texts.append(entities.unescape("".join(parts)))
+            parts = []
+        if not first:
+            parts.append("\n" if line else " ")
+        parts.append(" ".join(tokens.text[a:b].split()))
+    texts.append(entities.unescape("".join(parts)))
+    return page[new_slot].tolist(), slot[new_slot].tolist(), texts
 
 
 def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -246,17 +377,19 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     longs = template.agg(F.sum(F.size("root") + 2 * F.size("inner"))).first()[0] or 0
 
     def run(batches):
-        keys, known = _Keys(), {}
+        known = {}
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for page_id, host, page, root, inner, slot in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if host not in known:
-                    known.clear()
-                    known[host] = (root or [], dict(zip(inner or [], slot or [])))
-                for s, text in slots_of(page, *known[host], keys):
-                    for column, value in zip(out, (page_id, host, s, text)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["page_id", "host", "slot", "text"])
+            htmls = batch.column(2).to_pylist()
+            for a, b in slices(htmls):
+                hosts = batch.column(1).slice(a, b - a)
+                _, first_row, host = _numbered(hosts.to_pylist())
+                templates = [tuple(_list_at(batch.column(c), a + i).astype(np.int64) for c in (3, 4, 5)) for i in first_row]
+                page, slot, text = slots_of(Tokens(htmls[a:b], known), host, templates)
+                rows = pa.array(page, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a).take(rows), hosts.take(rows).cast(pa.string()), pa.array(slot, pa.int32()), pa.array(text, pa.string())],
+                    ["page_id", "host", "slot", "text"],
+                )
 
     joined = _with_host_rows(source, template, longs, "left").select("page_id", "host", "html", "root", "inner", "slot")
     return joined.mapInArrow(run, "page_id long, host string, slot int, text string")

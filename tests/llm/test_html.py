@@ -57,3 +57,39 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.host, r.slot, r.text[:11]) for r in H.extract(df).collect())
     assert got == [(0, "b", 0, "text"), (0, "b", 0, "text"), (1, "", 0, "one"), (4, "", 0, "two < three"), (5, "c", 0, "x x x x x x")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_tokens_are_those_of_a_regular_expression():
+    import random
+    import re
+
+    token = re.compile(r"[^<\s]+|<!--.*?-->|<(?i:script|style)\b.*?</(?i:script|style)\s*>|<[^>]*>|<", re.S)
+    rng = random.Random(4)
+    pieces = ["<", ">", "<!--", "-->", "<script", "<STYLE>", "</script>", "</style  >", "a", "é中", " ", "\n", "　", "<p x='>'>", "</p>", "<scripty>"]
+    for _ in range(3000):
+        page = "".join(rng.choices(pieces, k=rng.randrange(14)))
+        assert H.tokenize(page) == token.findall(page), page
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for s in ("<", "<!--", "<script", "<script>", "<!-->", "<a ", "</script   ", "<style></style", "a<b>"):
+        page = s * (1_000_000 // len(s))
+        assert "".join(H.tokenize(page)) == page.replace(" ", "") or "<a" in s or "   " in s
+    assert time.perf_counter() - began < 60
+
+
+def test_of_equally_frequent_roots_the_larger_then_the_first_key_is_taken(spark):
+    # x and y occur once on all pages but differ in their counts elsewhere: two classes of ones can't tie, as they are one class
+    pages = [f"<i>{'<u>' * (j % 3)}x a{j} y {'<u>' * (j % 2)}</i>" for j in range(6)]
+    (t,) = H.deduce(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()
+    assert [k for k in map(H.token_key, H.tokenize(pages[0])) if k in set(t.root)] == t.root and len(t.root) == 4
+    # classes on different pages, equally often and equally large: the one with the greater first key
+    halves = [f"<b><p>one two {j}" if j < 4 else f"<b><p>three four {j}" for j in range(8)]
+    (t,) = H.deduce(spark.createDataFrame([("h", p) for p in halves], "host string, html string"), support=0.5).collect()
+    assert set(t.root) == {H.token_key("<b>"), H.token_key("<p>")}
+    (t,) = H.deduce(spark.createDataFrame([("h", p[6:]) for p in halves], "host string, html string"), support=0.5).collect()
+    pairs = [sorted(map(H.token_key, p)) for p in (("one", "two"), ("three", "four"))]
+    assert sorted(t.root) == max(pairs)
