@@ -42,8 +42,8 @@ SKETCH = 256
 MOST_APART = 83
 #: What it costs to route a fingerprint to one more shard, in comparisons with a tree's node.
 ROUTE_COST = 30
-#: Identities of dropped documents that are broadcast at most; beyond, the texts are shuffled to them.
-BROADCAST_ROWS = 500_000
+#: 64-bit words of the filter of dropped documents, which is broadcast: at most one row for each, whatever the corpus.
+FILTER_WORDS = 1 << 22
 _LONG, _SHORT_WEIGHT = 5, 0.1
 A, B, C = f"{OWN}a", f"{OWN}b", f"{OWN}c"
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -238,8 +238,14 @@ def find_near_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = C
     return found.select("doc_id", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("keep"))
 
 
-def drop_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
-    """One document of each group (its smallest id), and all documents without a duplicate."""
+def drop_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """One document of each group (its smallest id), and all documents without a duplicate.
+
+    The identities (id and text hash) of rows that are dropped or repeated set bits of a filter of bounded
+    size, which is broadcast.  Rows that miss it stay where they are; only those that hit it, the dropped
+    ones and a few by chance, are shuffled to be decided exactly.  The plan is the same at every size: the more
+    is dropped, the more rows hit by chance, at worst all of them.
+    """
     text_id = f"{OWN}text"
     marked = docs.withColumn(text_id, F.xxhash64("text"))
     prints = settle(with_fingerprints(marked.select("doc_id", text_id, "text")).drop("text"))
@@ -251,15 +257,23 @@ def drop_duplicates(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIR
     first = first.join(chosen, low).select(
         "doc_id", text_id, "k", (F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col(text_id) == F.col("chosen"))).alias("stays")
     )
-    fate = settle(first.groupBy("doc_id", text_id).agg(F.max("stays").alias("stays"), F.sum("k").alias("k")))
-    leaves = fate.where("not stays or k > 1").select(F.col("doc_id").alias(f"{OWN}i"), F.col(text_id).alias(f"{OWN}t"), "stays")
-    near = F.broadcast if leaves.count() <= BROADCAST_ROWS else lambda d: d
-    same = marked.doc_id.eqNullSafe(F.col(f"{OWN}i")) & (F.col(text_id) == F.col(f"{OWN}t"))
-    out = marked.join(near(leaves.drop("stays")), same, "left_anti")
-    twice = leaves.where("stays")
-    if not twice.isEmpty():
-        out = out.unionByName(marked.join(near(twice.drop("stays")), same, "left_semi").dropDuplicates(["doc_id", text_id]))
-    return out.drop(text_id)
+    identity, word, bit, bits = (f"{OWN}{x}" for x in ("identity", "word", "bit", "bits"))
+    key = F.xxhash64(F.lit(3), F.col("doc_id"), F.col(text_id))
+    place = F.pmod(F.shiftrightunsigned(key, 6), F.lit(filter_words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
+    fate = first.groupBy("doc_id", text_id).agg(F.max("stays").alias("stays"), F.sum("k").alias("k"))
+    leaves = settle(fate.where("not stays or k > 1").select(F.col("doc_id").alias(f"{OWN}i"), F.col(text_id).alias(f"{OWN}t"), "stays", place[0].alias(word), place[1].alias(bit)))
+    sieve = settle(leaves.groupBy(word).agg(F.bit_or(bit).alias(bits)))
+    tried = marked.withColumns({word: place[0], bit: place[1]}).join(F.broadcast(sieve), word, "left")
+    hit = F.coalesce(F.col(bits).bitwiseAND(F.col(bit)), F.lit(0).cast("long")) != 0
+    columns = [F.col(c) for c in marked.columns]
+    away = tried.where(~hit).select(*columns)
+    # The hint keeps the plan from changing with the number of rows.
+    exact = leaves.select(f"{OWN}i", f"{OWN}t", F.col("stays").alias(bits)).hint("merge")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{OWN}i")) & (F.col(text_id) == F.col(f"{OWN}t"))
+    near = tried.where(hit).select(*columns).join(exact, same, "left")
+    kept = near.where(F.col(bits).isNull()).select(*columns)
+    once = near.where(F.col(bits)).select(*columns).dropDuplicates(["doc_id", text_id])
+    return away.unionByName(kept).unionByName(once).drop(text_id)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,7 @@ def test_groups_equal_brute_force(spark):
     assert {g: sorted(m) for g, m in got.items()} == expected and expected
     kept = sorted(r.doc_id for r in S.drop_duplicates(docs).collect())
     assert kept == sorted(set(range(len(ts))) - {i for g, m in expected.items() for i in m if i != g})
+    assert kept == sorted(r.doc_id for r in S.drop_duplicates(docs, filter_words=1).collect())
 
 
 def test_components_of_long_chains(spark):
@@ -94,6 +95,8 @@ def test_odd_rows(spark):
     kept = S.drop_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 8, 9]
+    # even a filter that nearly every row hits changes nothing
+    assert sorted(r.doc_id for r in S.drop_duplicates(docs, filter_words=1).collect()) == [1, 3, 4, 5, 6, 7, 8, 9]
 
 
 def test_all_ids_null_and_empty(spark):
