@@ -4,12 +4,16 @@ Items are partitioned by their number of distinct word shingles into classes of
 power of two).  For each class a document is read as overlapping windows of two blocks of u
 shingles, so that a passage of an item's length lies whole in one window however long the document
 is; that keeps the Jaccard similarity of item and window within a small factor of the containment,
-which a whole-document MinHash of a long text could not.  Signatures are one-permutation MinHashes
-of BINS * u bins, of which an item's or window's few shingles fill a small part, so that a shared shingle
-is hidden by a smaller one in its bin with a probability of at most 1/BINS.  An item is a candidate for a document if any bin of its signature equals that of a
-window; candidates are then verified by the exact containment of the item's shingles in the whole
-document.  A bin can only match on a shingle that the item has, so window minima are evaluated
-just for those bins, which gives the same candidates as complete signatures.
+which a whole-document MinHash of a long text could not.  Signatures are one-permutation MinHashes:
+the least shingle of each of BINS bins.  An item is a candidate for a document if any bin of its
+signature equals that of a window.  The smallest class has as many bins as there are shingles, so
+that its items, of which a single shingle may be shared, are always found; in the others a passage of
+half an item shares more than u/4 shingles with it, and the chance that each of them is hidden by a
+smaller one in its bin is below 1e-5 for u=16 and vanishes for greater u.  A bin can only match on a
+value of an item's signature, so window minima are evaluated just where a document has such a value,
+which gives the same candidates as complete signatures.
+
+Only candidates are verified, by the exact containment of the item's shingles in the whole document.
 
 The item index is broadcast in slices of bounded size; a benchmark beyond one slice takes one pass
 over the documents for each slice.
@@ -34,97 +38,109 @@ from mnemora.llm.textkit import Words
 
 WIDTH = 5
 CONTAINMENT = 0.5
-#: Bins of a signature for each shingle of the class bound; windows hold twice the bound.
-BINS = 128
+#: Bins of a signature, of which the smallest class needs none.
+BINS = 256
+SMALLEST = 8
 #: Characters of item texts in one broadcast slice of the index.
 SLICE_CHARS = 8_000_000
 _FILTER = 1 << 20
 
 
+class Signatures:
+    """Signature values of the items of one class, by value, with a filter of their bits."""
+
+    def __init__(self, bound: int, shingle: np.ndarray, item: np.ndarray):
+        self.bound = bound
+        if bound > SMALLEST:  # the least shingle of each bin of each item
+            order = np.lexsort((shingle, shingle % np.uint64(BINS), item))
+            shingle, item = shingle[order], item[order]
+            bin_ = shingle % np.uint64(BINS)
+            least = np.concatenate(([True], (item[1:] != item[:-1]) | (bin_[1:] != bin_[:-1])))
+            shingle, item = shingle[least], item[least]
+        order = np.argsort(shingle, kind="stable")
+        self.value, self.item = shingle[order], item[order]
+        self.bits = np.zeros(_FILTER, bool)
+        self.bits[self.value & np.uint64(_FILTER - 1)] = True
+
+    def candidates(self, s: np.ndarray, d: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of the shared signature values; ``s`` and ``d`` are the texts' shingles, ``start`` where each begins."""
+        place = np.flatnonzero(self.bits[s & np.uint64(_FILTER - 1)])
+        at = np.searchsorted(self.value, s[place])
+        known = self.value[np.minimum(at, len(self.value) - 1)] == s[place]
+        place, low = place[known], at[known]
+        if self.bound > SMALLEST and len(place):
+            least = self._least(s, d, start, place)
+            place, low = place[least], low[least]
+        many = np.searchsorted(self.value, s[place], side="right") - low
+        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        return np.repeat(d[place], many), self.item[entry]
+
+    def _least(self, s: np.ndarray, d: np.ndarray, start: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether a shingle is the least of its bin in one of the two windows that it lies in."""
+        bound, bins = self.bound, np.uint64(BINS)
+        ok = np.zeros(len(place), bool)
+        doc = d[place]
+        block = (place - start[doc]) // bound
+        step = 400_000 // bound + 1
+        for back in (0, 1):
+            first = np.maximum(start[doc] + (block - back) * bound, start[doc])
+            for a in range(0, len(place), step):
+                near = first[a : a + step, None] + np.arange(2 * bound)
+                x = s[np.minimum(near, len(s) - 1)]
+                own = s[place[a : a + step]][:, None]
+                smaller = (near < start[doc[a : a + step] + 1][:, None]) & (x % bins == own % bins) & (x < own)
+                ok[a : a + step] |= ~smaller.any(axis=1)
+        return ok
+
+
 class Index:
-    """Signatures and shingle sets of the items of one slice."""
+    """Signatures by class, and shingle sets, of the items of one slice."""
 
     def __init__(self, texts: list[str | None], width: int = WIDTH):
-        self.sets: dict[int, list] = {}
+        self.sets: dict[int, tuple] = {}
         w = Words(texts)
         h, count = w.hashes(), np.diff(w.first)
         self.size = np.zeros(len(texts), np.int64)
-        self.bound = np.zeros(len(texts), np.int64)
         for k in range(1, width + 1):
             s, d = w.shingles(k, h)
             chosen = (np.minimum(count, width) == k)[d]
             if not chosen.any():
                 continue
-            # distinct (shingle, item) pairs, by shingle
-            pair = np.unique(np.stack([s[chosen], d[chosen].astype(np.uint64)], 1), axis=0)
-            shingle, item = pair[:, 0].copy(), pair[:, 1].astype(np.int64)
+            # distinct (item, shingle) pairs in order
+            order = np.lexsort((s[chosen], d[chosen]))
+            shingle, item = s[chosen][order], d[chosen][order]
+            new = np.concatenate(([True], (item[1:] != item[:-1]) | (shingle[1:] != shingle[:-1])))
+            shingle, item = shingle[new], item[new]
             size = np.bincount(item, minlength=len(texts))
             self.size += size
-            bound = np.maximum(8, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
-            self.bound[size > 0] = bound[size > 0]
-            bins = BINS * bound[item]
-            # signature: the least shingle of each bin (its low bits) of each item
-            order = np.lexsort((shingle, shingle % bins.astype(np.uint64), item))
-            same = (item[order][1:] == item[order][:-1]) & ((shingle % bins.astype(np.uint64))[order][1:] == (shingle % bins.astype(np.uint64))[order][:-1])
-            least = np.ones(len(order), bool)
-            least[1:] = ~same
-            signed = np.zeros(len(order), bool)
-            signed[order[least]] = True
-            bits = np.zeros(_FILTER, bool)
-            bits[shingle & np.uint64(_FILTER - 1)] = True
-            self.sets[k] = [np.unique(shingle), shingle, item, signed, bits]
+            bound = np.maximum(SMALLEST, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))[item]
+            classes = [Signatures(int(u), shingle[bound == u], item[bound == u]) for u in np.unique(bound)]
+            self.sets[k] = classes, shingle, np.searchsorted(item, np.arange(len(texts) + 1))
 
     def search(self, texts: list[str | None], containment: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Arrays (text, item, containment) of the verified pairs."""
         found: list[np.ndarray] = []
         w = Words(texts)
         h = w.hashes()
-        for k, (distinct, shingle, item, signed, bits) in self.sets.items():
+        for k, (classes, shingle, start_item) in self.sets.items():
             s, d = w.shingles(k, h)
-            maybe = np.flatnonzero(bits[s & np.uint64(_FILTER - 1)])
-            at = np.minimum(np.searchsorted(distinct, s[maybe]), len(distinct) - 1)
-            maybe = maybe[distinct[at] == s[maybe]]
-            if not len(maybe):
-                continue
-            # hits: each shared shingle with each item that has it
-            low, high = np.searchsorted(shingle, s[maybe]), np.searchsorted(shingle, s[maybe], side="right")
-            many = high - low
-            entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-            place = np.repeat(maybe, many)
             start = np.searchsorted(d, np.arange(w.n_docs + 1))
-            pairs = self._candidates(s, d, start, place[signed[entry]], item[entry[signed[entry]]])
-            if not len(pairs):
-                continue
-            # verification: distinct shared shingles over the whole text
-            triple = np.unique(np.stack([d[place], item[entry], entry], 1), axis=0)
-            code, n = np.unique(triple[:, 0] * len(self.size) + triple[:, 1], return_counts=True)
-            n = n[np.searchsorted(code, pairs)]
-            found.append(np.stack([pairs // len(self.size), pairs % len(self.size), n / self.size[pairs % len(self.size)]], 1))
+            pairs = [np.stack(c.candidates(s, d, start), 1) for c in classes]
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            at = 0
+            for doc in np.unique(pairs[:, 0]):  # texts with candidates are few
+                items = pairs[at : at + np.searchsorted(pairs[at:, 0], doc, side="right"), 1]
+                at += len(items)
+                own = np.unique(s[start[doc] : start[doc + 1]])
+                many = start_item[items + 1] - start_item[items]
+                wanted = shingle[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start_item[items], many)]
+                shared = own[np.minimum(np.searchsorted(own, wanted), len(own) - 1)] == wanted
+                n = np.add.reduceat(shared, np.cumsum(many) - many)
+                found.append(np.stack([np.full(len(items), doc), items, n / self.size[items]], 1))
         got = np.concatenate(found) if found else np.zeros((0, 3))
         got = got[got[:, 2] >= containment]
         return got[:, 0].astype(np.int64), got[:, 1].astype(np.int64), got[:, 2]
 
-    def _candidates(self, s, d, start, place, item) -> np.ndarray:
-        """Codes text * items + item of the pairs with an equal signature bin in some window."""
-        out = []
-        u = self.bound[item]
-        for bound in np.unique(u):
-            p, i = place[u == bound], item[u == bound]
-            doc, bins = d[p], np.uint64(BINS * bound)
-            block = (p - start[doc]) // bound
-            for back in (0, 1):  # the two windows that the shingle lies in
-                first = np.maximum(start[doc] + (block - back) * bound, start[doc])
-                for a in range(0, len(p), 200_000 // int(bound) + 1):
-                    b = a + 200_000 // int(bound) + 1
-                    near = first[a:b, None] + np.arange(2 * bound)
-                    inside = near < start[doc[a:b] + 1][:, None]
-                    x = s[np.minimum(near, len(s) - 1)]
-                    own = s[p[a:b]][:, None]
-                    smaller = inside & (x % bins == own % bins) & (x < own)
-                    ok = ~smaller.any(axis=1)
-                    out.append(doc[a:b][ok] * len(self.size) + i[a:b][ok])
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
 
 def _indexes(spark: SparkSession, benchmark: DataFrame, width: int, slice_chars: int):
     """Broadcast (Index, item ids) of each slice of the items."""
