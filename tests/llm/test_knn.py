@@ -27,6 +27,21 @@ def test_equals_brute_force_with_ties_in_many_groups(spark):
     df = spark.createDataFrame([(int(i), [float(e) for e in v], 1) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, rank int")
     for k, group in ((10, 60), (3, 6000), (1, 100)):
         assert result(N.knn_join(spark, df, k, group)) == brute(ids, x, k)
+    some = {i: v for i, v in brute(ids, x, 10).items() if i % 50 == 0}
+    assert result(N.knn_join(spark, df, 10, 4, "vec_id % 50 = 0", slice_rows=90)) == some  # cells and groups are divided
+
+
+def test_blocks_left_out_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(N, "_BLOCK", 16)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 3)) for c in (0, 4, -9)])
+    ids, pivots = np.arange(len(x)), x[[0, 20, 70, 130]]
+    cell = N._distances(x, pivots).argmin(1)
+    q = np.arange(0, len(x), 7)
+    row, own, near_id, near = N.solve_local(q, ids[q], x[q], ids, x, 4, cell, pivots)
+    assert (own == row).all()
+    got = {int(i): [(int(j), round(float(d), 9)) for j, d in zip(near_id[row == i], near[row == i])] for i in q}
+    assert got == {i: v for i, v in brute(ids, x, 4).items() if i in got} and len(got) == len(q)
 
 
 def test_odd_rows(spark):
