@@ -14,12 +14,15 @@ taken, decided message by message from the start; roles count in the order syste
 
 Defined cases: messages are ordered by turn (nulls last), then role, then text (nulls last), so
 repeated rows and equal turns have a fixed order; a null text is an empty one; roles are compared
-without case and blanks; all rows with a null ``conv_id`` form one conversation; every conversation
-has at least one message, as an empty table gives an empty result; other columns are ignored.
+without case and blanks; a row with a null ``conv_id`` is a conversation of its own, as nothing ties
+it to others; every conversation has at least one message, as an empty table gives an empty result;
+other columns are ignored.  A text can't forge a turn: ``escape`` marks what reads like a marker.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +102,14 @@ def repair(roles: list[int | None]) -> tuple[int, list[tuple[str, int]]]:
     return ahead[_START] if n else INSERT * 2, edits
 
 
+_MARKER = re.compile(r"<(\\*)\|")
+
+
+def escape(text: str) -> str:
+    """One backslash more between ``<`` and ``|``, which is reversible and leaves all other text alone."""
+    return _MARKER.sub(r"<\\\1|", text)
+
+
 def render(texts: list[str | None], edits: list[tuple[str, int]]) -> tuple[str, int]:
     """The repaired conversation in chat markup, and its number of turns."""
     turns: list[list] = []
@@ -109,7 +120,7 @@ def render(texts: list[str | None], edits: list[tuple[str, int]]) -> tuple[str,
             continue
         if kind == "turn":
             turns.append([role, []])
-        turns[-1][1].append(texts[at] or "")
+        turns[-1][1].append(escape(texts[at] or ""))
         at += 1
     return "".join(f"<|{ROLES[r]}|>\n{'\n\n'.join(parts)}\n<|end|>\n" for r, parts in turns), len(turns)
 
@@ -120,7 +131,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         F.col("turn").isNull().alias("late"), "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.col("text").isNull().alias("empty"), F.col("text").alias("text"),
     )
-    chats = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
+    chats = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
+    chats = chats.unionByName(conversations.where("conv_id is null").select("conv_id", F.array(message).alias("m")))
     chats = chats.select("conv_id", F.col("m.role").alias("roles"), F.col("m.text").alias("texts"))
     kind = chats.schema["conv_id"].dataType.simpleString()
 

@@ -161,12 +161,18 @@ def mix_rates(spark: SparkSession, docs: DataFrame, targets: dict | None = None,
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, targets: dict | None = None, smoothing: float = SMOOTHING) -> DataFrame:
-    """Each document as often as its copies say, numbered from 0 in ``copy`` (after its own columns)."""
+    """Each document as often as its copies say, numbered from 0 in ``copy`` (after its own columns).
+
+    Where the documents have a column of that name already, in any case, theirs stays and the number
+    is in ``copy_1``, or the first such name that is free.
+    """
     rated = with_rates(spark, docs, targets, smoothing)
     n = copies(F.col(_RATE), F.col("doc_id"), F.coalesce(F.length("text"), F.lit(0)))
     numbered = rated.withColumn(f"{OWN}n", n).where(F.col(f"{OWN}n") > 0)
     numbered = numbered.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{OWN}n") - 1)))
-    return numbered.select(*(F.col(c) for c in docs.columns if c != "copy"), F.col(f"{OWN}copy").alias("copy"))
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("copy", *(f"copy_{i}" for i in range(1, len(taken) + 2))) if n not in taken)
+    return numbered.select(*docs.columns, F.col(f"{OWN}copy").alias(name))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,9 @@ def test_odd_rows(spark):
     d = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, source string, rate double, copy int")
     got = M.mix_rates(spark, d).toPandas()
     assert len(got) == len(rows) and np.isfinite(got.rate).all() and (got.rate > 0).all()
-    assert M.mix_documents(spark, d).columns == ["doc_id", "text", "source", "rate", "copy"]
+    mixed = M.mix_documents(spark, d)
+    assert mixed.columns == ["doc_id", "text", "source", "rate", "copy", "copy_1"] and {r.copy for r in mixed.collect()} == {2}
+    assert M.mix_documents(spark, d.drop("copy").withColumnRenamed("rate", "Copy")).columns == ["doc_id", "text", "source", "Copy", "copy_1"]
 
 
 @pytest.mark.parametrize("texts", [[], ["", None]])
