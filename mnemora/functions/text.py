@@ -1,89 +1,52 @@
 """Keyword extraction as column expressions and DataFrame operators.
 
 Tokens are lower-cased runs of letters; Han runs, which have no blanks, are cut into their
-bigrams besides (a lexicon can be given instead).  No Python runs per row.
+bigrams besides.  What isn't a built-in expression runs on Arrow batches (``lexer``), never on rows.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STOPWORDS = (
-    "the and that this with from for are was were has have had not but you your his her its our their they them then than there "
-    "der die das und ist nicht mit von den dem des ein eine für auf les des une est que qui dans pour par sur avec pas los las del una por con para como "
-    "表示 进行 没有 可以 已经 不是 这个 那个 什么 他们 我们 因为 所以 但是 如果"
-).split()
+from mnemora.functions.lexer import keyword_lists, learnable_lists, maximal_lists, word_counts
+from mnemora.functions.stopwords import STOPWORDS
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def words(text: Column | str) -> Column:
-    """All lower-cased letter runs of a text, in order; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\p{L}+)")), F.array().cast("array<string>"))
+def _arrow(kind: str, step, *columns: Column) -> Column:
+    """An Arrow function of columns; called nondeterministic so that no plan evaluates it twice."""
 
+    def run(x: pa.Array) -> pa.Array:
+        return step(x)
 
-def lexicon_words(text: Column | str, lexicon: list[str]) -> Column:
-    """Occurrences of lexicon entries in a text without blanks, longest first at each place."""
-    import re
-
-    pattern = "|".join(re.escape(w) for w in sorted(set(lexicon), key=lambda w: (-len(w), w)))
-    return F.coalesce(F.regexp_extract_all(F.lower(col(text)), F.lit(f"({pattern})")), F.array().cast("array<string>"))
-
-
-def han_bigrams(text: Column | str) -> Column:
-    """Overlapping pairs of Han characters, for texts without blanks."""
-    runs = F.regexp_extract_all(col(text), F.lit(r"(\p{IsHan}{2,})"))
-    pairs = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))
-    return F.coalesce(F.flatten(pairs), F.array().cast("array<string>"))
-
-
-def usable(tokens: Column, min_len: int = 2, stopwords: list[str] | None = None) -> Column:
-    """Distinct tokens of at least ``min_len`` characters that aren't stop words."""
-    stop = F.array(*(F.lit(w) for w in (STOPWORDS if stopwords is None else stopwords)))
-    return F.array_except(F.array_distinct(F.filter(tokens, lambda w: F.length(w) >= min_len)), stop)
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``, which may use it within lambdas.
-
-    Within a lambda an expression of the row would be evaluated for each element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-#: Words longer than this are searched instead of being cut into all their parts.
-_LONG_WORD = 40
-
-
-def _parts(w: Column) -> Column:
-    """All strict substrings of a word with at least two characters."""
-    n = F.length(w)
-    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(w, i, k))
-    return F.when(n > 2, F.flatten(F.transform(F.sequence(F.lit(2), n - 1), cut))).otherwise(F.array().cast("array<string>"))
+    return F.arrow_udf(run, kind).asNondeterministic()(*columns)
 
 
 def drop_contained(tokens: Column) -> Column:
-    """Only words (of at least two characters) that aren't a strict substring of another word of the list.
+    """Only words that aren't a strict substring of another word of the list, in its order; null gives an empty list."""
+    return _arrow("array<string>", maximal_lists, tokens)
 
-    The list is reduced by the set of all parts of its words, which is linear in their number
-    where comparing all pairs of words would be quadratic.
-    """
 
-    def outside(t):
-        parts = F.flatten(F.transform(F.filter(t, lambda w: F.length(w) <= _LONG_WORD), _parts))
-        rest = F.array_except(t, parts)
-        return let(F.filter(t, lambda w: F.length(w) > _LONG_WORD), lambda long: F.filter(rest, lambda w: ~F.exists(long, lambda x: (x != w) & F.contains(x, w))))
+def keywords(text: Column | str, min_len: int = 2, stopwords: list[str] | None = None) -> Column:
+    """Distinct usable words of a text that no other one contains, longest first, then alphabetical."""
+    stop = frozenset(STOPWORDS if stopwords is None else stopwords)
+    return _arrow("array<string>", lambda x: keyword_lists(x, min_len, stop), col(text))
 
-    return let(tokens, outside)
 
+def learnable_words(text: Column | str, min_len: int = 2) -> Column:
+    """``keywords`` of a text, or if it has Han runs the pairs of their characters and its other words, in order."""
+    stop = frozenset(STOPWORDS)
+    return _arrow("array<string>", lambda x: learnable_lists(x, min_len, stop), col(text))
 
-def keywords(text: Column | str, min_len: int = 2, stopwords: list[str] | None = None) -> Column:
-    """Distinct usable words of a text that no other one contains, longest first, then alphabetical."""
-    kept = drop_contained(usable(words(text), min_len, stopwords))
-    return F.transform(F.array_sort(F.transform(kept, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda s: s.w)
+
+def counted_words(text: Column | str) -> Column:
+    """All distinct words of a text, stop words too, with their numbers of occurrences: (word, n)."""
+    return _arrow("array<struct<word:string,n:int>>", word_counts, col(text))
 
 
 def document_frequency(docs: DataFrame, tokens: str = "words") -> DataFrame:
@@ -98,17 +61,17 @@ def weighted_keywords(docs: DataFrame, id_col: str, text_col: str, top_k: int =
     ``top_k`` of highest TF-IDF, tf*ln(N/df) rounded to 6 places, ties by word, from twice as many
     of which contained words are dropped first.  Frequencies are those of the whole table.
     """
-    t = words(text_col)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col) > long_threshold, F.lit(False)).alias("long"), t.alias("tokens"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col) > long_threshold, F.lit(False)).alias("long"), F.col(text_col).alias("text"))
     n = docs.count()
-    long = base.where("long")
-    counted = long.select("id", F.explode("tokens").alias("word")).where((F.length("word") >= min_len) & ~F.col("word").isin(STOPWORDS)).groupBy("id", "word").agg(F.count("*").alias("tf"))
-    every = base.select("id", F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    tokens = base.select("id", "long", F.explode(counted_words("text")).alias("t")).select("id", "long", "t.word", F.col("t.n").cast("long").alias("tf"))
+    counted = tokens.where("long").drop("long").where((F.length("word") >= min_len) & ~F.col("word").isin(STOPWORDS))
+    every = tokens.groupBy("word").agg(F.count("*").alias("df"))
     scored = counted.join(every, "word").withColumn("weight", F.round(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 6))
     w = Window.partitionBy("id").orderBy(F.desc("weight"), "word")
     top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 2 * top_k)
     lists = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("m"), "word"))).alias("x"))
-    lists = lists.withColumn("x", let(drop_contained(F.col("x.word")), lambda kept: F.slice(F.filter("x", lambda s: F.array_contains(kept, s.word)), 1, top_k)))
+    lists = lists.withColumn("kept", drop_contained(F.col("x.word")))
+    lists = lists.withColumn("x", F.slice(F.filter("x", lambda s: F.array_contains("kept", s.word)), 1, top_k))
     longs = lists.select("id", F.posexplode("x").alias("p", "s")).select("id", F.col("s.word").alias("word"), (-F.col("s.m")).alias("weight"), (F.col("p") + 1).cast("int").alias("rank"))
     shorts = base.where("not long").select("id", F.posexplode(keywords("text", min_len)).alias("p", "word")).select("id", "word", F.lit(1.0).alias("weight"), (F.col("p") + 1).cast("int").alias("rank"))
     return longs.unionByName(shorts)

@@ -14,6 +14,9 @@ from datetime import date, datetime, timedelta, timezone
 import pandas as pd
 from pyspark.sql import functions as F
 
+from mnemora.functions.lexer import learnable
+from mnemora.functions.stopwords import STOPWORDS
+
 _DIGIT = dict(zip("零一二三四五六七八九", range(10))) | dict(zip("〇壹贰叁肆伍陆柒捌玖", range(10))) | {"两": 2}
 _TEN = "十拾"
 _YEARS_BACK = {"今": 0, "去": 1, "前": 2, "大前": 3}
@@ -136,10 +139,16 @@ class ParsedTime:
 
 
 def parse_time(text: str | None, now: datetime, threshold: float = 0.45) -> ParsedTime:
-    """The period that a text's time expression denotes, and the text without it.
+    """The period that a text's time expression denotes, the text without it, and the keywords of that.
 
     Below the threshold the range is None and the text is kept, but the expression is reported.
     """
+    parsed = _parse(text, now, threshold)
+    parsed.keywords = learnable([parsed.cleaned_text], 2, frozenset(STOPWORDS))[0]
+    return parsed
+
+
+def _parse(text: str | None, now: datetime, threshold: float) -> ParsedTime:
     if not isinstance(text, str) or not text:
         return ParsedTime()
     zone = now.tzinfo or timezone.utc
@@ -165,7 +174,7 @@ def parse_column(text, now: datetime, threshold: float = 0.45):
     """A column of structs (start_ts, end_ts, time_expr, cleaned_text, confidence, signals)."""
     @F.pandas_udf("start_ts double, end_ts double, time_expr string, cleaned_text string, confidence double, signals array<string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        got = [parse_time(t, now, threshold) for t in s]
+        got = [_parse(t, now, threshold) for t in s]
         return pd.DataFrame(
             {
                 "start_ts": [p.time_range[0] if p.time_range else None for p in got], "end_ts": [p.time_range[1] if p.time_range else None for p in got],

@@ -143,17 +143,15 @@ def consolidate(entries: DataFrame, since: float) -> DataFrame:
     return build(recent.select(F.col("keywords").alias("words")))
 
 
-def keyword_events(entries: DataFrame, top_k: int = 20) -> DataFrame:
-    """What a written entry teaches: its given keywords if at least two, nothing if exactly one.
-
-    Without given keywords, those extracted from topic, summary and the body's beginning.
-    """
-    from mnemora.functions.text import keywords
+def forget_words(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """The terms as if these words had never been learnt; rows without any other word are left out."""
+    from mnemora.session import settle
 
-    text = F.concat_ws(" ", "topic", "summary", F.substring("body", 1, 500))
-    given = F.size("keywords")
-    learnt = F.when(given >= 1, F.array_distinct("keywords")).otherwise(F.slice(keywords(text), 1, top_k))
-    return entries.select("id", learnt.alias("words")).where(F.size("words") >= 2)
+    row = settle(terms.withColumn("row", F.monotonically_increasing_id()))
+    others = [c for c in row.columns if c != "words"]
+    each = row.select(*others, F.explode("words").alias("w"))
+    kept = each.join(words.select(F.col("word").alias("w")).distinct(), "w", "left_anti")
+    return kept.groupBy(*others).agg(F.collect_list("w").alias("words")).select(*terms.columns)
 
 
 def number_documents(docs: DataFrame, order: str) -> DataFrame:

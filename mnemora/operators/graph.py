@@ -129,9 +129,3 @@ def hidden_chain(
     score = F.when(F.col("p") > 0, F.col("p") * (1 + F.col("c"))).otherwise(0.001 * F.col("c"))
     words = both.select("word", F.round("p", 6).alias("ppr_score"), F.col("c").alias("path_count"), F.round(score, 6).alias("combined_score"))
     return words.orderBy(F.desc("combined_score"), "word").limit(n), paths.select("source", "target", "path", "total_weight", "hops"), None
-
-
-def ranked_neighbours(graph: DataFrame, n: int) -> DataFrame:
-    """The n strongest edges of each node."""
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return graph.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

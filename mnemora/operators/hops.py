@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,19 +17,27 @@ def two_hop(strength: DataFrame, word: str, n: int = 5) -> DataFrame:
 
 
 def group_inference(strength: DataFrame, words: list[str], n: int = 10, least: float = 0.01) -> DataFrame:
-    """(target, confidence, whys): sum over words and mids of p1*p2, with the three best explanations."""
+    """(target, confidence, whys): sum over words and mids of p1*p2, with the three best explanations.
+
+    The best 2n targets are merged by ``merge_substrings`` into n.
+    """
     s = strength.where((F.col("p") > least) & ~F.col("b").isin(words))
     first = s.where(F.col("a").isin(words)).select(F.col("a").alias("word"), F.col("b").alias("mid"), F.col("p").alias("p1"))
     second = s.where(~F.col("a").isin(words)).select(F.col("a").alias("mid"), F.col("b").alias("target"), F.col("p").alias("p2"))
     score = F.col("p1") * F.col("p2")
-    why = F.struct((-F.round(score, 9)).alias("s"), "word", "mid")
-    grouped = first.join(second, "mid").groupBy("target").agg(F.round(F.sum(score), 6).alias("confidence"), F.slice(F.array_sort(F.collect_list(why)), 1, 3).alias("w"))
-    whys = F.transform("w", lambda x: F.concat(x.word, F.lit(" > "), x.mid))
-    return grouped.select("target", "confidence", whys.alias("whys")).orderBy(F.desc("confidence"), "target").limit(2 * n)
+    best = F.sort_array(F.collect_list(F.struct((-F.round(score, 9)).alias("s"), "word", "mid")))
+    grouped = first.join(second, "mid").groupBy("target").agg(F.round(F.sum(score), 6).alias("confidence"), F.slice(best, 1, 3).alias("w"))
+    top = grouped.orderBy(F.desc("confidence"), "target").limit(2 * n).collect()
+    merged = merge_substrings([(r.target, r.confidence, [tuple(x) for x in r.w]) for r in top], n, key=lambda x: x)
+    rows = [(t, c, [f"{word} > {mid}" for _, word, mid in w]) for t, c, w in merged]
+    return strength.sparkSession.createDataFrame(rows, "target string, confidence double, whys array<string>")
 
 
-def merge_substrings(ranked: list[tuple[str, float, list[str]]], n: int) -> list[tuple[str, float, list[str]]]:
-    """Fold shorter targets into the first kept longer one that contains them (at most 2n rows)."""
+def merge_substrings(ranked: list[tuple[str, float, list]], n: int, key: Callable | None = None) -> list[tuple[str, float, list]]:
+    """Fold shorter targets into the first kept longer one that contains them (at most 2n rows).
+
+    Of the explanations, in the order of ``key`` if it is given, three are kept.
+    """
     kept: list[list] = []
     for target, score, whys in sorted(ranked, key=lambda r: (-len(r[0]), -r[1], r[0])):
         host = next((k for k in kept if target in k[0]), None)
@@ -35,8 +45,9 @@ def merge_substrings(ranked: list[tuple[str, float, list[str]]], n: int) -> list
             kept.append([target, score, list(whys)])
         else:
             host[1] += score
-            host[2] = (host[2] + list(whys))[:3]
-    return [(t, round(s, 6), w) for t, s, w in sorted(kept, key=lambda k: (-k[1], k[0]))[:n]]
+            host[2] = host[2] + list(whys)
+            host[2] = (sorted(host[2], key=key) if key else host[2])[:3]
+    return [(t, round(s, 6), w) for t, s, w in sorted(kept, key=lambda k: (-round(k[1], 6), k[0]))[:n]]
 
 
 def degrees(strength: DataFrame, least: float = 0.0) -> DataFrame:
@@ -52,21 +63,21 @@ def hubs(strength: DataFrame, percentile: float = 0.95, least: float = 0.0) -> D
 def beam_search(
     strength: DataFrame, words: list[str], depth: int = 3, width: int = 20, least: float = 0.01, n: int = 10, hop_decay: float = 0.5, diversity: float = 0.6, hub_percentile: float = 0.95
 ) -> DataFrame:
-    """(target, score): what all the words lead to within exactly ``depth`` hops.
+    """(target, score, whys): what all the words lead to within exactly ``depth`` hops, with the three best paths.
 
     Each word has its own beam of the ``width`` best partial paths; hubs pass on only 0.3 of the
     strength, every further hop is damped by ``hop_decay``, and weak paths (under a tenth of
     ``least``) are dropped.  Targets are scored over all paths that reach the last hop before the
     beam is cut there.  With several words a target must be reached from each or be next to each;
-    with one word it must be next to it.
+    with one word it must be next to it.  The best 2n are merged by ``merge_substrings`` into n.
     """
     e = strength.where((F.col("p") > least) & (F.col("a") != F.col("b")) & ~F.col("b").isin(words)).select("a", F.col("b").alias("next"), "p")
-    hub = hubs(strength, hub_percentile, least).select(F.col("node").alias("a"), F.lit(0.3).alias("damp"))
+    hub = hubs(strength, hub_percentile).select(F.col("node").alias("a"), F.lit(0.3).alias("damp"))
     spark = strength.sparkSession
     beam = spark.createDataFrame([(w, w, 1.0, [w]) for w in sorted(set(words))], "word string, a string, cum double, path array<string>")
     reached = None
     for d in range(depth):
-        step = beam.join(e, "a").join(F.broadcast(hub), "a", "left").where(~F.array_contains("path", F.col("next")))
+        step = beam.join(e, "a").join(hub, "a", "left").where(~F.array_contains("path", F.col("next")))
         cum = F.col("cum") * F.col("p") * (hop_decay**d) * F.coalesce("damp", F.lit(1.0))
         step = step.select("word", F.col("next").alias("a"), cum.alias("cum"), F.concat("path", F.array("next")).alias("path")).where(F.col("cum") >= 0.1 * least)
         if d == depth - 1:
@@ -74,8 +85,9 @@ def beam_search(
         w = Window.partitionBy("word").orderBy(F.desc(F.round("cum", 12)), "path")
         beam = step.withColumn("r", F.row_number().over(w)).where(F.col("r") <= width).drop("r")
     scored = reached.groupBy(F.col("a").alias("target")).agg(
-        F.sum("cum").alias("s"), F.countDistinct("word").alias("sources"), F.countDistinct(F.when(F.size("path") > 2, F.col("path")[1])).alias("bridges")
-    )
+        F.sum("cum").alias("s"), F.countDistinct("word").alias("sources"), F.countDistinct(F.col("path")[1]).alias("bridges"),
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.round("cum", 9)).alias("s"), F.array_join("path", " > ").alias("path")))), 1, 3).alias("w"),
+    )
     direct = strength.where(F.col("a").isin(words) & (F.col("p") > 0) & (F.col("a") != F.col("b"))).groupBy(F.col("b").alias("target")).agg(F.countDistinct("a").alias("near"))
     k = len(set(words))
     j = scored.join(direct, "target", "left").withColumn("coverage", F.coalesce("near", F.lit(0)) / k)
@@ -83,4 +95,6 @@ def beam_search(
     many = F.when((F.col("sources") == k) & F.lit(k > 1), 1.5).when(F.col("sources") > 1, 1 + 0.2 * (F.col("sources") - 1)).otherwise(1.0)
     few = F.when(F.col("bridges") <= 1, diversity).otherwise(1.0)
     score = F.round(F.col("s") * F.sqrt("coverage") * many * few, 6)
-    return j.select("target", score.alias("score"), "sources").orderBy(F.desc("score"), "target").limit(2 * n)
+    top = j.select("target", score.alias("score"), "w").orderBy(F.desc("score"), "target").limit(2 * n).collect()
+    merged = merge_substrings([(r.target, r.score, [tuple(x) for x in r.w]) for r in top], n, key=lambda x: x)
+    return spark.createDataFrame([(t, c, [path for _, path in w]) for t, c, w in merged], "target string, score double, whys array<string>")

@@ -23,7 +23,7 @@ def similar_words(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     The score is the share of the shorter in the longer, times 0.8 if the query's word is the longer.
     Every bigram of the shorter occurs in the longer, so its first one joins the other's bigrams,
-    which avoids comparing all pairs; words of one character, which have none, are compared with all.
+    which avoids comparing all pairs; words of one character join the other's distinct characters.
     """
     q, v = queries.select("word").distinct(), vocabulary.select("keyword").distinct()
     qb = q.where(F.length("word") >= 2).select("word", F.explode(_bigrams("word")).alias("g"))
@@ -31,30 +31,31 @@ def similar_words(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     first = F.substring("word", 1, 2), F.substring("keyword", 1, 2)
     inner = q.where(F.length("word") >= 2).withColumn("g", first[0]).join(vb, "g").where(F.contains("keyword", F.col("word")))
     outer = v.where(F.length("keyword") >= 2).withColumn("g", first[1]).join(qb, "g").where(F.contains("word", F.col("keyword")))
-    either = F.contains("keyword", F.col("word")) | F.contains("word", F.col("keyword"))
-    single = q.crossJoin(v.where(F.length("keyword") == 1)).where(either).unionByName(q.where(F.length("word") == 1).crossJoin(v.where(F.length("keyword") > 1)).where(either))
+    letters = lambda w: F.explode(F.array_distinct(F.split(w, "")))
+    one = v.where(F.length("keyword") == 1).join(q.select("word", letters("word").alias("keyword")), "keyword").select("word", "keyword")
+    single = one.unionByName(q.where(F.length("word") == 1).join(v.select("keyword", letters("keyword").alias("word")), "word").select("word", "keyword"))
     found = inner.select("word", "keyword").unionByName(outer.select("word", "keyword")).unionByName(single).where("word <> keyword").distinct()
     a, b = F.length("word"), F.length("keyword")
     return found.withColumn("score", F.when(a <= b, a / b).otherwise(b / a * 0.8))
 
 
-def fuzzy(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, entry_id, score): an entry's best similar index word."""
-    near = similar_words(queries, index)
+def fuzzy(queries: DataFrame, index: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """(query_id, entry_id, score): an entry's best similar index word; ``near`` has the ``similar_words`` of at least these queries."""
+    near = similar_words(queries, index) if near is None else near
     q = queries.select("query_id", "word").distinct()
     return q.join(near, "word").join(index, "keyword").groupBy("query_id", "entry_id").agg(F.max("score").alias("score"))
 
 
-def association_hits(expanded: DataFrame, index: DataFrame, chain: DataFrame | None = None, chain_fuzzy: bool = False) -> DataFrame:
+def association_hits(expanded: DataFrame, index: DataFrame, chain: DataFrame | None = None, chain_fuzzy: bool = False, near: DataFrame | None = None) -> DataFrame:
     """(query_id, entry_id, assoc) from hits of expanded words and, if given, of chain words."""
     parts = [
         exact(expanded, index).select("query_id", "entry_id", F.col("hits").cast("double").alias("e"), F.lit(0.0).alias("f"), F.lit(0.0).alias("ce"), F.lit(0.0).alias("cf")),
-        fuzzy(expanded, index).select("query_id", "entry_id", F.lit(0.0).alias("e"), F.col("score").alias("f"), F.lit(0.0).alias("ce"), F.lit(0.0).alias("cf")),
+        fuzzy(expanded, index, near).select("query_id", "entry_id", F.lit(0.0).alias("e"), F.col("score").alias("f"), F.lit(0.0).alias("ce"), F.lit(0.0).alias("cf")),
     ]
     if chain is not None:
         parts.append(exact(chain, index).select("query_id", "entry_id", F.lit(0.0).alias("e"), F.lit(0.0).alias("f"), F.col("hits").cast("double").alias("ce"), F.lit(0.0).alias("cf")))
         if chain_fuzzy:
-            parts.append(fuzzy(chain, index).select("query_id", "entry_id", F.lit(0.0).alias("e"), F.lit(0.0).alias("f"), F.lit(0.0).alias("ce"), F.col("score").alias("cf")))
+            parts.append(fuzzy(chain, index, near).select("query_id", "entry_id", F.lit(0.0).alias("e"), F.lit(0.0).alias("f"), F.lit(0.0).alias("ce"), F.col("score").alias("cf")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -86,7 +87,7 @@ def score(hits: DataFrame, entries: DataFrame, now: float, n: int | None = 10, d
         bonus = F.lit(1.0)
     rel, weight = relevance("exact", "fuzzy", "assoc"), time_weight("timestamp", "importance", now, decay)
     done = j.select(
-        "query_id", "entry_id", F.round(rel, 4).alias("relevance"), F.round(weight, 4).alias("time_weight"), "importance", "timestamp",
+        "query_id", "entry_id", F.round(rel * bonus, 4).alias("relevance"), F.round(weight, 4).alias("time_weight"), "importance", "timestamp",
         final_score(rel, bonus, weight, "importance").alias("final_score"), F.round((F.lit(float(now)) - F.col("timestamp")) / 3600, 2).alias("age_hours"),
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("timestamp"), "entry_id")

@@ -12,7 +12,7 @@ def current_entries(ops: DataFrame) -> DataFrame:
     """The present state of all entries that weren't removed, in one shuffle by entry.
 
     ``set_imp`` sets the clamped importance and ``demote`` lowers it by one, not below 1, in the
-    order of ``seq``; ``access`` counts and keeps the latest time.
+    order of ``seq``; ``access`` counts (as often as ``level`` says, once if it is null) and keeps the latest time.
     """
     step = F.struct("seq", "op", "level")
     folded = ops.groupBy("entry_id").agg(
@@ -20,7 +20,7 @@ def current_entries(ops: DataFrame) -> DataFrame:
         F.bool_or(F.col("op") == "remove").alias("gone"),
         F.bool_or(F.col("op") == "add").alias("known"),
         F.sort_array(F.collect_list(F.when(F.col("op").isin("set_imp", "demote"), step))).alias("steps"),
-        F.count_if(F.col("op") == "access").alias("access_count"),
+        F.coalesce(F.sum(F.when(F.col("op") == "access", F.coalesce(F.col("level"), F.lit(1)))), F.lit(0)).alias("access_count"),
         F.max(F.when(F.col("op") == "access", F.col("ts"))).alias("last_accessed"),
     )
     live = folded.where("known and not gone")

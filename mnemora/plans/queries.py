@@ -129,6 +129,10 @@ def inverted_index(spark, sf):
     return store.keyword_index(doc_entries(spark, sf)).groupBy("keyword").agg(F.count("*").alias("n"), F.min("entry_id").alias("first_id"))
 
 
+def keyword_scan(spark, sf):
+    return store.all_keywords(store.keyword_index(doc_entries(spark, sf)))
+
+
 def document_ingest(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", text.keywords("text").alias("words"))
     return cooc.enough_words(d).select("doc_id", F.size("words").cast("long").alias("n_words"))
@@ -163,6 +167,17 @@ def retrieve_standard(spark, sf):
     return got.select("query_id", "entry_id", "relevance", "final_score", "rank")
 
 
+def retrieve_deep(spark, sf):
+    """One query of three words over the documents, with associations and the hidden words between them."""
+    q = spark.createDataFrame([("q", w) for w in DOC_ANCHORS], "query_id string, word string")
+    cells, docs = _doc_cells(spark, sf)
+    scores = settle(assoc.ppmi(cells, docs))
+    chain = graph.hidden_chain(scores, cells, DOC_ANCHORS)[0].orderBy(F.desc("combined_score"), "word").limit(5)
+    words = settle(chain.select(F.lit("q").alias("query_id"), "word"))
+    got = retrieve.retrieve(q, settle(doc_entries(spark, sf)), NOW, scores, "deep", chain_words=words)
+    return got.select("query_id", "entry_id", "relevance", "final_score", "rank")
+
+
 def time_weight(spark, sf):
     return doc_entries(spark, sf, False).select("id", F.round(scoring.time_weight("timestamp", "importance", NOW), 6).alias("time_weight"))
 
@@ -334,11 +349,11 @@ def group_inference(spark, sf):
 
 
 def beam_search(spark, sf):
-    return hops.beam_search(settle(_doc_strength(spark, sf)), DOC_ANCHORS).select("target", "score")
+    return hops.beam_search(settle(_doc_strength(spark, sf)), DOC_ANCHORS).select("target", "score", F.array_join("whys", "; ").alias("whys"))
 
 
 def hub_nodes(spark, sf):
-    return hops.hubs(_strength(spark, sf), 0.5, 0.28)
+    return hops.hubs(settle(_strength(spark, sf)), 0.5, 0.2)
 
 
 def connected_anchors(spark, sf):
@@ -347,14 +362,17 @@ def connected_anchors(spark, sf):
 
 
 def ppr(spark, sf):
-    """12 rounds, as the SQL has; ``ppr_documents`` runs to the tolerance."""
     g = settle(graph.edges(_ppmi(spark, sf), _LEAST))
-    return graph.pagerank(g, ANCHORS, rounds=12, tolerance=None).withColumn("rank", F.round("rank", 6))
+    return graph.pagerank(g, ANCHORS).withColumn("rank", F.round("rank", 6))
+
+
+def _paths(found: DataFrame) -> DataFrame:
+    return found.select("source", "target", F.round("distance", 4).alias("distance"), F.array_join("path", " > ").alias("path"), "total_weight", "hops")
 
 
 def shortest_path(spark, sf):
     g = settle(graph.edges(_ppmi(spark, sf), _LEAST))
-    return graph.shortest_paths(g, ANCHORS, ANCHORS).select("source", "target", F.round("distance", 4).alias("distance"))
+    return _paths(graph.shortest_paths(g, ANCHORS, ANCHORS))
 
 
 def hidden_chain(spark, sf):
@@ -365,8 +383,14 @@ def hidden_chain(spark, sf):
 # ---- the same over all keywords of all documents, with the reference's thresholds -----------------
 
 
+def _rows_of(cells: DataFrame) -> DataFrame:
+    """(word, cells, total) of each row of the mirrored cells, whose number is too great for a result."""
+    return cooc.mirror(cells).groupBy(F.col("a").alias("word")).agg(F.count("*").alias("cells"), F.sum("n").cast("long").alias("total"))
+
+
 def cooc_build_documents(spark, sf):
-    return _doc_cells(spark, sf, 1)[0].withColumn("n", F.col("n").cast("long"))
+    """All cells of all words, summed up by word."""
+    return _rows_of(_doc_cells(spark, sf, 1)[0])
 
 
 def cooc_prune_documents(spark, sf):
@@ -406,8 +430,9 @@ def cleanup_vocab_documents(spark, sf):
 
 
 def remove_words_documents(spark, sf):
+    """All cells without rare words, summed up by word."""
     c = _doc_cells(spark, sf, 1)[0]
-    return cooc.remove_words(c, settle(cooc.cleanup(c, LEAST_COUNT))).withColumn("n", F.col("n").cast("long"))
+    return _rows_of(cooc.remove_words(c, settle(cooc.cleanup(c, LEAST_COUNT))))
 
 
 def consolidate_recent_documents(spark, sf):
@@ -441,7 +466,7 @@ def ppr_documents(spark, sf):
 
 def shortest_path_documents(spark, sf):
     g = settle(graph.edges(_doc_ppmi(spark, sf)))
-    return graph.shortest_paths(g, DOC_ANCHORS, DOC_ANCHORS).select("source", "target", F.round("distance", 4).alias("distance"))
+    return _paths(graph.shortest_paths(g, DOC_ANCHORS, DOC_ANCHORS))
 
 
 def evidence(spark, sf):
@@ -474,7 +499,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_extract, keyword_index, inverted_index, document_ingest, weighted_keywords, longtext_tiers, search_exact, search_fuzzy, retrieve_fast,
-        retrieve_standard, time_weight, filter_time_range, list_entries, entries_since, source_scan, point_read, store_stats, current_entries, importance_fold,
+        retrieve_standard, retrieve_deep, keyword_scan, time_weight, filter_time_range, list_entries, entries_since, source_scan, point_read, store_stats, current_entries, importance_fold,
         supersede_demote, access_counts, remove_entries, cooc_build, cooc_documents, cooc_prune, cooc_stats, cooc_decay, keyword_channel, ppmi, cond_prob,
         top_associations, expand_keywords, cleanup_vocab, remove_words, consolidate_recent, recall_by_date, recall_by_range, summarize_week, category_stats,
         stream_day_counts, two_hop, group_inference, beam_search, hub_nodes, connected_anchors, ppr, shortest_path, hidden_chain, evidence, parse_time, csv_ingest,

@@ -21,11 +21,10 @@ OPS = T.StructType(
         T.StructField("op", T.StringType(), False),  # add, remove, set_imp, demote, access
         T.StructField("entry_id", T.StringType(), False),
         T.StructField("ts", T.DoubleType()),
-        T.StructField("level", T.IntegerType()),
+        T.StructField("level", T.IntegerType()),  # of set_imp; of access: how many at once, if not one
         T.StructField("payload", ENTRY),
     ]
 )
 #: Word lists to learn from: documents (channel "doc") count towards the corpus, keyword lists ("kw") don't.
 TERMS = _struct(doc_seq=_L, channel=_S, words=_WORDS)
-CELLS = _struct(a=_S, b=_S, n=_D)
 ENTRIES = T.StructType([T.StructField("id", T.StringType()), *ENTRY.fields, T.StructField("access_count", T.LongType()), T.StructField("last_accessed", T.DoubleType())])

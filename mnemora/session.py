@@ -1,4 +1,4 @@
-"""Sessions and the folder for intermediate tables."""
+"""The folder for intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,23 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with what the operators rely on: UTC, adaptive execution and Arrow."""
-    b = SparkSession.builder.appName("mnemora")
-    if master:
-        b = b.master(master)
-    if shuffle_partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return (
-        b.config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
-    )
+from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_csv(spark: SparkSession, path: str, content_column: str = "content") -> DataFrame:
-    """Texts of one column of a CSV file with a header; quoted fields may span lines."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, content_column: str = "content", multi_line: bool = True) -> DataFrame:
+    """Texts of one column of a CSV file with a header; quoted fields may span lines.
+
+    Files without such fields are split among tasks if ``multi_line`` is off; else a file is one task.
+    """
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     if content_column not in df.columns:
         raise ValueError(f"no column {content_column!r} among {df.columns}")
     return df.withColumnRenamed(content_column, "text")
@@ -47,15 +50,19 @@ def load_snapshot(spark: SparkSession, path: str, names: list[str]) -> tuple[dic
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, config
 
 
-def export_entries(entries: DataFrame, path: str) -> None:
-    entries.write.mode("overwrite").json(path)
+def export_entries(entries: DataFrame, path: str, next_id: int) -> None:
+    """Entries as JSON lines, and the number of the next one."""
+    entries.write.mode("overwrite").json(f"{path}/entries")
+    entries.sparkSession.createDataFrame([(json.dumps({"next_id": next_id}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
-def import_entries(spark: SparkSession, path: str) -> DataFrame | None:
+def import_entries(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
+    """What ``export_entries`` wrote; None if there is nothing."""
     from mnemora.schema import ENTRIES
 
     try:
-        return spark.read.schema(ENTRIES).json(path)
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        return spark.read.schema(ENTRIES).json(f"{path}/entries"), int(meta["next_id"])
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
