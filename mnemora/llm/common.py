@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: list[list[str]] = []
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that ``settle`` writes within, at the end; what is computed from them must be written by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again.
 
@@ -44,6 +64,8 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -72,3 +72,10 @@ def test_odd_rows_and_empty(spark):
     assert L.identify(spark, docs.limit(0)).count() == 0
     nothing = L.identify(spark, docs.drop("lang").selectExpr("*", "cast(null as string) lang")).collect()
     assert len(nothing) == docs.count() and all(r.language is None for r in nothing)
+
+
+def test_of_equal_scores_the_first_language_in_the_alphabet_wins(spark):
+    rows = [(i, "one two three four", lang) for i, lang in enumerate(["fr", "de", "en"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.identify(spark, docs).collect()
+    assert {r.language for r in got} == {"de"} and all(abs(r.confidence - 1 / 3) < 1e-6 for r in got)

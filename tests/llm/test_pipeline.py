@@ -57,4 +57,17 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf, tmp_path):
             path = str(tmp_path / f"{kind}-{name}")
             df.write.parquet(path)
             df = spark.read.parquet(path)
-            assert set(df.columns) == set(docs.columns)
+            assert set(df.columns) == set(docs.columns) | ({"copy_1"} if name == "mixing" else set())
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, sf, tmp_path):
+    import os
+
+    old = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        n = corpus_pipeline.run(spark, sf).count()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)
+    (left,) = os.listdir(tmp_path / "mnemora")
+    assert n and left.endswith("-mixing")

@@ -62,3 +62,17 @@ def test_empty(spark, which):
     else:
         labels = labels.limit(0) if which == "labels" else labels.where("quality = 1")
         assert Q.filter_quality(spark, docs, labels).count() == 12
+
+
+def test_ranker_equals_plain_gradient_steps_over_all_its_pairs():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3))
+    good = x @ np.array([1.5, -1.0, 0.2]) + rng.normal(size=40) > 0
+    w = Q.fit_bradley_terry(x, good, pairs_each=6)
+    top, low = np.flatnonzero(good), np.flatnonzero(~good)
+    left = np.random.default_rng(11).choice(top, size=len(low) * 6)
+    pairs = [(x[a] - x[b]) / x.std(axis=0) for a, b in zip(left, np.repeat(low, 6))]
+    v = np.zeros(3)
+    for _ in range(4000):
+        v -= 0.005 * (v - sum(d / (1 + np.exp(d @ v)) for d in pairs))
+    assert np.allclose(w, v / x.std(axis=0), atol=1e-4)
