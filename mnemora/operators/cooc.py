@@ -120,8 +120,14 @@ def word_frequency(cells: DataFrame) -> DataFrame:
 
 
 def cleanup(cells: DataFrame, least: float, max_vocab: int | None = None) -> DataFrame:
-    """The words to drop: those under ``least``, then the least frequent beyond ``max_vocab`` (ties: later words)."""
-    freq = word_frequency(cells)
+    """The words to drop: those under ``least``, then the least frequent beyond ``max_vocab`` (ties: later words).
+
+    The limit is a frequency, found from the numbers of words of each; only words of just that
+    frequency are numbered in their order, and no task sorts the vocabulary.
+    """
+    from mnemora.session import settle
+
+    freq = settle(word_frequency(cells))
     low = freq.where(F.col("freq") < least).select("word")
     if max_vocab is None:
         return low
@@ -129,7 +135,13 @@ def cleanup(cells: DataFrame, least: float, max_vocab: int | None = None) -> Dat
     surplus = kept.count() - max_vocab
     if surplus <= 0:
         return low
-    return low.unionByName(kept.orderBy("freq", F.desc("word")).limit(surplus).select("word"))
+    for r in kept.groupBy("freq").count().orderBy("freq").toLocalIterator():
+        if r["count"] >= surplus:
+            break
+        surplus -= r["count"]
+    ties = number_documents(kept.where(F.col("freq") == r.freq).select("word"), "word")
+    last = ties.where(F.col("doc_seq") > r["count"] - surplus).select("word")
+    return low.unionByName(kept.where(F.col("freq") < r.freq).select("word")).unionByName(last)
 
 
 def remove_words(cells: DataFrame, words: DataFrame) -> DataFrame:

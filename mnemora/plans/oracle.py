@@ -220,7 +220,7 @@ SELECT a, b, round(r.v * pow(0.995::DOUBLE, greatest(m - r.e, 0)), 6) AS n FROM
 
 
 _SUMS = "SELECT a AS word, count(*) AS cells, sum(n)::BIGINT AS total FROM full_cells GROUP BY a"
-_RARE = "gone AS (SELECT a AS word FROM full_cells GROUP BY a HAVING 2 * sum(n) < 5)"
+_RARE = "freq AS (SELECT a AS word, 2 * sum(n) AS f FROM full_cells GROUP BY a), kept AS (SELECT * FROM freq WHERE f >= 5), gone AS (SELECT word FROM freq WHERE f < 5 UNION ALL SELECT word FROM (SELECT word, row_number() OVER (ORDER BY f, word DESC) AS r FROM kept) WHERE r <= (SELECT count(*) FROM kept) - 20000)"
 _TOP_PAIRS = "SELECT a, b, round(ppmi, 6) AS ppmi FROM m WHERE ppmi >= 0 AND ppmi < 10 ORDER BY 3 DESC, a, b LIMIT 20"
 _STATS = "SELECT (SELECT d FROM docs)::BIGINT AS total_docs, (SELECT count(*) FROM df) AS vocab_size, (SELECT count(*) FROM full_cells) AS nnz, round((SELECT count(*) FROM full_cells) / (SELECT count(*) FROM df)::DOUBLE ^ 2, 6) AS density"
 

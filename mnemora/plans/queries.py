@@ -15,6 +15,8 @@ from mnemora.streaming import ingest
 #: 2024-02-01 00:00:00 UTC, the present of all queries.
 NOW = 1706745600.0
 DAY = 86400.0
+#: Words that are kept in the vocabulary of the documents.
+MOST_WORDS = 20_000
 #: Least count of a cell that is kept for associations, as the reference's configuration has it.
 LEAST_COUNT = 5
 
@@ -426,13 +428,13 @@ def expand_keywords_documents(spark, sf):
 
 
 def cleanup_vocab_documents(spark, sf):
-    return cooc.cleanup(_doc_cells(spark, sf, 1)[0], LEAST_COUNT)
+    return cooc.cleanup(_doc_cells(spark, sf, 1)[0], LEAST_COUNT, MOST_WORDS)
 
 
 def remove_words_documents(spark, sf):
     """All cells without rare words, summed up by word."""
     c = _doc_cells(spark, sf, 1)[0]
-    return _rows_of(cooc.remove_words(c, settle(cooc.cleanup(c, LEAST_COUNT))))
+    return _rows_of(cooc.remove_words(c, settle(cooc.cleanup(c, LEAST_COUNT, MOST_WORDS))))
 
 
 def consolidate_recent_documents(spark, sf):
