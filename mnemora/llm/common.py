@@ -26,14 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset and the master is local (tests) a temporary folder is set instead.
+    Only where that is unset and the master is local (tests) it is a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "mnemora-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
