@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import scoring, text, timeparse
 from mnemora.operators import assoc, cooc, episodic, graph, hops, search, store
 from mnemora.plans import retrieve
-from mnemora.session import settle
+from mnemora.session import settle, shared_dir
 from mnemora.sources import files
 from mnemora.streaming import ingest
 
@@ -112,7 +112,7 @@ def order_ops(spark, sf) -> DataFrame:
     )
     # Lines of one order may repeat a number, so more of the line orders them.
     seq = F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")
-    line = li.select(seq.cast("long").alias("seq"), op.alias("op"), F.col("l_orderkey").alias("entry_id"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double").alias("ts"), (F.col("l_quantity") % 7).cast("int").alias("level"))
+    line = li.select(seq.cast("long").alias("seq"), op.alias("op"), F.col("l_orderkey").alias("entry_id"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double").alias("ts"), F.when(op == "set_imp", (F.col("l_quantity") % 7).cast("int")).alias("level"))
     return add.unionByName(line, allowMissingColumns=True)
 
 
@@ -329,8 +329,7 @@ def stream_day_counts(spark, sf):
     import uuid
 
     schema = t(spark, sf, "events").schema
-    settle(spark.range(1))  # makes sure that the shared folder is set
-    root = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/mnemora/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     ingest.append_log(stream, f"{root}/log", f"{root}/state")
     return ingest.day_counts(spark.read.schema(schema).parquet(f"{root}/log"))
@@ -491,8 +490,7 @@ def csv_ingest(spark, sf):
     """Documents written as CSV and read back by the ingest."""
     import uuid
 
-    settle(spark.range(1))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/mnemora/{uuid.uuid4().hex}-csv"
+    path = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}-csv"
     t(spark, sf, "documents").select("doc_id", F.col("text").alias("content")).write.csv(path, header=True, escape='"', quoteAll=True)
     return files.csv_counts(files.read_csv(spark, path))
 

@@ -6,21 +6,25 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the shared folder (``spark.checkpoint.dir``) and reading again.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    The setting is only made here where it is unset and the master is local.
+    Only where that is unset and the master is local (tests) it is a temporary folder.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "mnemora-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/mnemora/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing to the shared folder and reading again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/mnemora/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
