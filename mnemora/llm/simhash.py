@@ -11,8 +11,10 @@ its smallest ``doc_id``.
 The search is exact.  The 64 bits are cut into radius+m blocks; two fingerprints within the radius
 agree on at least m blocks, so every fingerprint joins one shard for each choice of m blocks, and
 each shard is a BK-tree, searched by all its members, that follows only edges within the radius.
-m grows with the number of fingerprints, so as to weigh what is shuffled against what is compared.  The shard
-trees are shuffled to tasks rather than broadcast, as together they grow with the corpus.
+m grows with the number of fingerprints, so as to weigh what is sorted against what is compared.
+All choices with the same first block travel together: a fingerprint is shuffled once for each of
+the radius+1 blocks that can be first, whatever m is, and the task makes the choices.  Only where
+too many fingerprints agree on that block are the first two (three, ...) told apart in the shuffle.
 
 Defined cases: null and empty texts, and texts without a word, are never duplicates; repeated rows
 are duplicates of each other, of which ``drop_duplicates`` keeps one; rows with a null ``doc_id``
@@ -40,8 +42,12 @@ CONFIRM = 22
 #: MinHashes of a sketch, and the bits in which two may differ: those expected at a Jaccard similarity of 0.35.
 SKETCH = 256
 MOST_APART = 83
-#: What it costs to route a fingerprint to one more shard, in comparisons with a tree's node.
+#: What it costs to put a fingerprint into one more shard, in comparisons with a tree's node.
 ROUTE_COST = 30
+#: Fingerprints that a shuffled shard may have before it is cut by one block more, which bounds a task's memory.
+SHARD_ROWS = 400_000
+#: Pairs found in a cell before they are replaced by spanning edges.
+PAIRS = 1 << 20
 #: 64-bit words of the filter of dropped documents, which is broadcast: at most one row for each, whatever the corpus.
 FILTER_WORDS = 1 << 22
 _LONG, _SHORT_WEIGHT = 5, 0.1
@@ -98,8 +104,8 @@ def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(docs, text, [T.StructField(A, T.LongType()), T.StructField(B, T.LongType()), T.StructField(C, T.BinaryType())], lambda: step)
 
 
-def plan_blocks(n: int, radius: int = RADIUS) -> list[int]:
-    """The bit masks of every choice of m of radius+m blocks, with the m of least modelled cost for n fingerprints.
+def cut_blocks(n: int, radius: int = RADIUS) -> tuple[int, list[int]]:
+    """m, and the bit masks of radius+m blocks, with the m of least modelled cost for n fingerprints.
 
     A member of a shard is compared with at most half of it, as each pair is met once.
     """
@@ -109,34 +115,102 @@ def plan_blocks(n: int, radius: int = RADIUS) -> list[int]:
 
     m = min(range(1, 7), key=cost)
     ends = [round(64 * i / (radius + m)) for i in range(radius + m + 1)]
-    blocks = [((1 << b) - (1 << a)) & (2**64 - 1) for a, b in zip(ends, ends[1:])]
+    return m, [((1 << b) - (1 << a)) & (2**64 - 1) for a, b in zip(ends, ends[1:])]
+
+
+def plan_blocks(n: int, radius: int = RADIUS) -> list[int]:
+    """The bit masks of every choice of m of radius+m blocks."""
+    m, blocks = cut_blocks(n, radius)
     return [sum(c) for c in combinations(blocks, m)]
 
 
-def _edges(nodes: DataFrame, n: int, radius: int, confirm: int) -> DataFrame:
-    """Spanning edges, shard by shard, of the graph of near-duplicate fingerprint pairs."""
-    masks = np.array(plan_blocks(n, radius), np.uint64)
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, math.ceil(n * len(masks) / 2_000_000))
-    cells = parts * 4
-    step = max(1, 500_000 // len(masks))
+class Choices:
+    """The choices of 1 to m blocks that begin a choice of m, as a tree.
+
+    Those of k blocks are all that lie within the first radius+k.  They are numbered by k, then in
+    order, so that the next longer ones (``child``, ``children``) and those of m (``leaf``,
+    ``leaves``) that begin with one are consecutive.
+    """
+
+    def __init__(self, n: int, radius: int):
+        self.m, blocks = cut_blocks(n, radius)
+        self.first = radius + 1  # choices of one block, numbered from 0
+        each = [c for k in range(1, self.m + 1) for c in combinations(range(radius + k), k)]
+        at = {c: i for i, c in enumerate(each)}
+        self.masks = np.array([sum(blocks[b] for b in c) for c in each], np.uint64)
+        self.child = np.array([at.get((*c, c[-1] + 1), 0) for c in each])
+        self.children = np.array([radius + len(c) - c[-1] if len(c) < self.m else 0 for c in each])
+        self.leaf = np.array([at[*c, *range(c[-1] + 1, c[-1] + 1 + self.m - len(c))] for c in each])
+        self.leaves = np.array([math.comb(radius + self.m - 1 - c[-1], self.m - len(c)) for c in each])
+
+    def shards(self, a: np.ndarray, cut: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, choice, key) of the shards of each fingerprint: of one block, but of one more for those in ``cut``.
+
+        With ``level``, only the shards of so many blocks, whether in ``cut`` or not.
+        """
+        row, which = np.tile(np.arange(len(a)), self.first), np.repeat(np.arange(self.first), len(a))
+        out = []
+        for k in range(1, self.m + 1):
+            key = _shard_key(a[row] & self.masks[which], which)
+            if k == level:
+                return row, which, key
+            more = np.isin(key, cut) if k < self.m and len(cut) else np.zeros(len(key), bool)
+            out.append((row[~more], which[~more], key[~more]))
+            row, which = row[more], which[more]
+            many = self.children[which]
+            row, which = np.repeat(row, many), np.repeat(self.child[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _to_cut(nodes: DataFrame, n: int, choices: Choices, most: int) -> tuple[np.ndarray, int]:
+    """Keys of the shards of more than ``most`` members, and the copies of fingerprints if these are cut.
+
+    Each has more than ``most`` of the copies, so there are few.
+    """
+    cut, copies = np.zeros(0, np.uint64), n * choices.first
+    for level in range(1, choices.m if n > most else 1):
+
+        def count(batches, level=level, cut=cut):
+            for batch in batches:
+                _, which, key = choices.shards(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), cut, level)
+                key, at, k = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(which[at]), pa.array(k)], ["key", "which", "k"])
+
+        large = nodes.select(A).mapInArrow(count, "key long, which long, k long").groupBy("key", "which").agg(F.sum("k").alias("k")).where(F.col("k") > most).collect()
+        if not large:
+            break
+        cut = np.concatenate([cut, np.array([r.key for r in large], np.int64).view(np.uint64)])
+        copies += sum(r.k * (int(choices.children[r.which]) - 1) for r in large)
+    return cut, copies
+
+
+def _routed(nodes: DataFrame, choices: Choices, cut: np.ndarray, cells: int) -> DataFrame:
+    """(cell, blob): the fingerprints of each shard, packed in a blob for each batch and cell, to keep the shuffle and the JVM's work small."""
+    step = max(1, 500_000 // choices.first)
 
     def route(batches):
-        # Rows travel packed, one blob for each batch and cell, to keep the shuffle and the JVM's work small.
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 a = batch.column(0)[at : at + step].to_numpy(zero_copy_only=False).view(np.uint64)
                 b = batch.column(1)[at : at + step].to_numpy(zero_copy_only=False).view(np.uint64)
                 c = np.frombuffer(b"".join(batch.column(2)[at : at + step].to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
-                which = np.repeat(np.arange(len(masks), dtype=np.uint16), len(a))
-                row = np.tile(np.arange(len(a)), len(masks))
-                key = _shard_key(a[row] & masks[which], which)
+                row, which, key = choices.shards(a, cut)
                 cell = (key % np.uint64(cells)).astype(np.int64)
                 order = np.argsort(cell, kind="stable")
-                row, which, cell = row[order], which[order], cell[order]
-                cut = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-                blobs = [a[r].tobytes() + b[r].tobytes() + c[r].tobytes() + w.tobytes() for r, w in ((row[s:e], which[s:e]) for s, e in zip(cut, cut[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[cut[:-1]]), pa.array(blobs, pa.binary())], ["cell", "blob"])
+                row, which, cell = row[order], which[order].astype(np.uint16), cell[order]
+                ends = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+                blobs = [a[r].tobytes() + b[r].tobytes() + c[r].tobytes() + w.tobytes() for r, w in ((row[s:e], which[s:e]) for s, e in zip(ends, ends[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[ends[:-1]]), pa.array(blobs, pa.binary())], ["cell", "blob"])
+
+    return nodes.select(A, B, C).mapInArrow(route, "cell long, blob binary")
+
+
+def _edges(nodes: DataFrame, n: int, radius: int, confirm: int, most: int = SHARD_ROWS) -> DataFrame:
+    """Spanning edges, cell by cell, of the graph of near-duplicate fingerprint pairs."""
+    choices = Choices(n, radius)
+    cut, copies = _to_cut(nodes, n, choices, most)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, math.ceil(copies / 2_000_000))
 
     def search(batches):
         blobs: dict[int, list[bytes]] = {}
@@ -150,22 +224,32 @@ def _edges(nodes: DataFrame, n: int, radius: int, confirm: int) -> DataFrame:
             b = np.concatenate([np.frombuffer(x, np.uint64, k, 8 * k) for x, k in zip(mine, count)])
             c = np.concatenate([np.frombuffer(x, np.uint64, k * (SKETCH // 64), 16 * k) for x, k in zip(mine, count)]).reshape(-1, SKETCH // 64)
             which = np.concatenate([np.frombuffer(x, np.uint16, k, (16 + SKETCH // 8) * k) for x, k in zip(mine, count)])
-            key = _shard_key(a & masks[which], which)
-            order = np.lexsort((b, a, key))
-            a, b, c, key = a[order], b[order], c[order], key[order]
-            left, right = [], []
-            for i, j in Forest(key, a).within(radius):
-                near = np.bitwise_count(b[i] ^ b[j]) <= confirm
-                i, j = i[near], j[near]
-                near = np.bitwise_count(c[i] ^ c[j]).sum(1, dtype=np.int64) <= MOST_APART
-                left.append(i[near])
-                right.append(j[near])
+            del mine
+            left, right, found = [], [], 0
+            # The choices of m blocks that a shard stands for are made here, one for each of its members at a time.
+            for t in range(int(choices.leaves[which].max())):
+                own = np.flatnonzero(choices.leaves[which] > t)
+                leaf = choices.leaf[which[own]] + t
+                key = _shard_key(a[own] & choices.masks[leaf], leaf)
+                order = np.argsort(key)
+                own, key = own[order], key[order]
+                for i, j in Forest(key, a[own]).within(radius):
+                    i, j = own[i], own[j]
+                    near = np.bitwise_count(b[i] ^ b[j]) <= confirm
+                    i, j = i[near], j[near]
+                    near = np.bitwise_count(c[i] ^ c[j]).sum(1, dtype=np.int64) <= MOST_APART
+                    left.append(i[near])
+                    right.append(j[near])
+                    found += len(left[-1])
+                    if found > PAIRS:
+                        i, j = _spanning(np.concatenate(left), np.concatenate(right), len(a))
+                        left, right, found = [i], [j], 0
             if left and sum(map(len, left)):
                 i, j = _spanning(np.concatenate(left), np.concatenate(right), len(a))
                 columns = [pa.array(x[k].view(np.int64) if x is not c else [y.tobytes() for y in c[k]]) for k in (i, j) for x in (a, b, c)]
                 yield pa.RecordBatch.from_arrays(columns, ["a1", "b1", "c1", "a2", "b2", "c2"])
 
-    routed = nodes.select(A, B, C).mapInArrow(route, "cell long, blob binary").repartition(parts, "cell")
+    routed = _routed(nodes, choices, cut, parts * 4).repartition(parts, "cell")
     return routed.mapInArrow(search, "a1 long, b1 long, c1 binary, a2 long, b2 long, c2 binary").distinct()
 
 

@@ -79,6 +79,49 @@ def test_groups_equal_brute_force(spark):
     assert kept == sorted(r.doc_id for r in S.drop_duplicates(docs, filter_words=1).collect())
 
 
+def planted_nodes(n, seed=4):
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 2**64, n, np.uint64)
+    for i in range(n // 3, n):  # 0 to 10 bits from another one, at any place
+        fp[i] = fp[rng.integers(0, i)]
+        for bit in rng.choice(64, rng.integers(0, 11), replace=False):
+            fp[i] ^= np.uint64(1) << np.uint64(bit)
+    return [(int(x), i, bytes(S.SKETCH // 8)) for i, x in enumerate(fp.view(np.int64))]
+
+
+def test_copies_of_a_fingerprint_dont_grow_with_the_choices(spark):
+    nodes = spark.createDataFrame(planted_nodes(200), f"{S.A} long, {S.B} long, {S.C} binary")
+    for n in (200, 250_000, 3_000_000, 100_000_000):
+        sent = S._routed(nodes, S.Choices(n, S.RADIUS), np.zeros(0, np.uint64), 40).selectExpr("sum(length(blob))").first()[0]
+        assert sent == 200 * (S.RADIUS + 1) * (18 + S.SKETCH // 8)
+
+
+def test_search_is_exact_at_any_size_and_where_shards_are_cut(spark, monkeypatch):
+    rows = planted_nodes(400)
+    nodes = spark.createDataFrame(rows, f"{S.A} long, {S.B} long, {S.C} binary")
+    expected = brute([x & (2**64 - 1) for x, _, _ in rows], [0] * len(rows), S.RADIUS)
+    low = list(range(len(rows)))
+    for _ in rows:
+        for i, j in expected:
+            low[i] = low[j] = min(low[i], low[j])
+    assert 100 < len(set(low)) < 300
+    monkeypatch.setattr(S, "PAIRS", 5)
+    for n, most in ((200, 10**6), (250_000, 10**6), (3_000_000, 10**6), (3_000_000, 4), (100_000_000, 1)):
+        choices = S.Choices(n, S.RADIUS)
+        assert [int(x) for x in choices.masks[choices.leaf[0] :]] == S.plan_blocks(n)
+        if most < len(rows):
+            cut, copies = S._to_cut(nodes, len(rows), choices, most)
+            a = np.array([x for x, _, _ in rows]).view(np.uint64)
+            assert len(cut) and copies == len(choices.shards(a, cut)[0]) > 9 * len(rows)
+        got = list(range(len(rows)))
+        at = {r: i for i, r in enumerate(rows)}
+        edges = [(at[e.a1, e.b1, bytes(e.c1)], at[e.a2, e.b2, bytes(e.c2)]) for e in S._edges(nodes, n, S.RADIUS, S.CONFIRM, most).collect()]
+        for _ in rows:
+            for i, j in edges:
+                got[i] = got[j] = min(got[i], got[j])
+        assert got == low
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100)] + [(200 + i, 260) for i in range(20)]
     got = S.components(spark.createDataFrame(edges, "u long, v long")).collect()
