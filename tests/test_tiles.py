@@ -75,3 +75,26 @@ def test_no_table_of_cells(spark, docs, monkeypatch, tmp_path):
     assert Q.cooc_stats_documents(spark, str(tmp_path)).first().nnz == sum(k for k, _ in rows.values())
     assert isinstance(Q.cleanup_vocab_documents(spark, str(tmp_path)), DataFrame)
     assert Q.remove_words_documents(spark, str(tmp_path)).where(F.col("cells") > 0).count() > 0
+
+
+def test_evidence_without_window(spark):
+    """The best entry for a word is found by sums before the shuffle; a window held all hits of a word in one task."""
+    from mnemora.operators import search
+
+    index = spark.createDataFrame([("ab", "2"), ("ab", "10"), ("abc", "1"), ("cd", "3")], "keyword string, entry_id string")
+    entries = spark.createDataFrame([(i, "t", "s") for i in ("1", "2", "3", "10")], "id string, topic string, summary string")
+    got = search.evidence(spark.createDataFrame([("ab",), ("bc",), ("zz",)], "word string"), index, entries)
+    assert sorted((r.word, r.entry_id) for r in got.collect()) == [("ab", "10"), ("bc", "1")]
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_contenders_alone(spark, monkeypatch):
+    from mnemora.operators import search
+
+    hits = spark.createDataFrame([("q", str(i), float(i), 0.0, 0.0) for i in range(40)], "query_id string, entry_id string, exact double, fuzzy double, assoc double")
+    entries = spark.createDataFrame([(str(i), 0.0, 3, [], "word" if i in (30, 36) else "", "") for i in range(40)], "id string, timestamp double, importance int, keywords array<string>, summary string, body string")
+    supplement = spark.createDataFrame([("q", ["word"])], "query_id string, words array<string>")
+    near = search._contenders(hits, entries.withColumnRenamed("id", "entry_id"), 0.0, 3, 0.1)
+    assert {int(r.entry_id) for r in near.collect()} == set(range(25, 40))
+    got = search.score(hits, entries, 0.0, 3, supplement=supplement).orderBy("rank").collect()
+    assert [(r.entry_id, r.final_score) for r in got] == [("36", 54.0), ("30", 45.0), ("39", 39.0)]
