@@ -98,3 +98,23 @@ def test_texts_of_contenders_alone(spark, monkeypatch):
     assert {int(r.entry_id) for r in near.collect()} == set(range(25, 40))
     got = search.score(hits, entries, 0.0, 3, supplement=supplement).orderBy("rank").collect()
     assert [(r.entry_id, r.final_score) for r in got] == [("36", 54.0), ("30", 45.0), ("39", 39.0)]
+
+
+def test_graph_of_tiles(spark, docs, monkeypatch):
+    """Ranks, components and paths over many tiles are those of the operators over a table of edges, which they don't make."""
+    from mnemora.operators import assoc, graph
+
+    terms = spark.createDataFrame([(d,) for d in docs], "words array<string>")
+    t = tiles.tiles(terms, 3, width=7)
+    table = spark.createDataFrame([(*p, float(n)) for p, n in _cells(docs, 3).items()], "a string, b string, n double")
+    plain = graph.edges(spark.createDataFrame(assoc.ppmi(table, t.docs).collect()))
+    anchors = sorted(r.src for r in plain.select("src").distinct().collect())[:3]
+    ranks, paths = _got(graph.pagerank(plain, anchors)), sorted(map(tuple, graph.shortest_paths(plain, anchors, anchors).collect()))
+    monkeypatch.setattr(graph, "edges", lambda *a: pytest.fail("the graph became a table"))
+    g = tiles.Edges.of(t, 0.1)
+    number = g.numbers(anchors)
+    assert _got(g.vector("rank", *graph.tiled_pagerank(g, list(number.values())))) == pytest.approx(ranks)
+    got = sorted(map(tuple, graph.tiled_paths(g, anchors).collect()))
+    assert len(got) == len(paths) and [p[3] for p in got] == [p[3] for p in paths]
+    assert [p[2] for p in got] == pytest.approx([p[2] for p in paths]) and [p[4:] for p in got] == [p[4:] for p in paths]
+    assert set(_got(g.vector("near", *[graph.tiled_reachable(g, [number[anchors[0]]])] * 2).select("node", F.lit(1)))) <= set(ranks)
