@@ -118,3 +118,29 @@ def test_graph_of_tiles(spark, docs, monkeypatch):
     assert len(got) == len(paths) and [p[3] for p in got] == [p[3] for p in paths]
     assert [p[2] for p in got] == pytest.approx([p[2] for p in paths]) and [p[4:] for p in got] == [p[4:] for p in paths]
     assert set(_got(g.vector("near", *[graph.tiled_reachable(g, [number[anchors[0]]])] * 2).select("node", F.lit(1)))) <= set(ranks)
+
+
+def test_decay_drops_and_waits(spark):
+    """A cell that falls under 0.5 in a long gap begins anew, in tiles as in the table of epochs; pairs are summed up by batch."""
+    import numpy as np
+
+    rng = random.Random(2)
+    every, done, most = [], 900, 1000
+    for cell in range(30):
+        for e in rng.sample(range(1, 902), rng.choice((1, 2, 5, 60))):
+            every += [(cell, e)] * rng.choice((1, 1, 3))
+    expected = {}
+    for cell in range(30):
+        own = [e for c, e in every if c == cell]
+        v = 0.0
+        for e in range(1, done + 2):
+            v += own.count(e)
+            if e <= done:
+                v *= 0.995
+                v = 0.0 if v < 0.5 else v
+        if len(own) >= 2 and v > 0:
+            expected[cell] = v
+    key, value = tiles._folded(np.array([c * most + e for c, e in every]), most, 2, 0.005, done)
+    assert dict(zip(key.tolist(), value.tolist())) == pytest.approx(expected)
+    terms = spark.createDataFrame([(1, ["b", "a", "a"]), (1, ["a", "b", "c"]), (2, ["c"]), (2, None)], "e int, words array<string>").coalesce(1)
+    assert _got(tiles.pairs_by_epoch(terms)) == {("a", "a", 1): 2, ("a", "b", 1): 2, ("b", "b", 1): 2, ("a", "c", 1): 1, ("b", "c", 1): 1, ("c", "c", 1): 1, ("c", "c", 2): 1}
